@@ -6,6 +6,7 @@ not become its own dictionary; sizes are summed over all chunks of the whole tex
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,13 +16,15 @@ from pyspark.sql import functions as F
 
 from .common import crc32_of, table
 
-#: Bytes of text in a dictionary, rows drawn for it, and bytes in a chunk.
-DICTIONARY_BYTES = 96 << 10
-SAMPLE_ROWS = 400
-CHUNK_BYTES = 2048
+#: Bytes in a dictionary and from each text in it, labelled rows of a class that fill it at most, bytes in a chunk.
+DICTIONARY_BYTES = 512 << 10
+PIECE_BYTES = 1024
+SAMPLE_ROWS = 600
+CHUNK_BYTES = 512
+LEVEL = 6
 
 
-def sizes(texts: list[str | None], dictionaries: list[bytes], level: int = 3) -> np.ndarray:
+def sizes(texts: list[str | None], dictionaries: list[bytes], level: int = LEVEL) -> np.ndarray:
     """Compressed bytes of each whole text with each dictionary, and its raw bytes in the last column."""
     import zstandard
 
@@ -42,14 +45,15 @@ def sizes(texts: list[str | None], dictionaries: list[bytes], level: int = 3) ->
 
 
 def dictionary(texts: list[str], most: int = DICTIONARY_BYTES) -> bytes:
-    """Raw content of the texts in turn, some of each, until it is full: a text fills a 32nd at most."""
+    """Raw content: a piece of each text in turn, from a place that its checksum says, until it is full."""
     parts, n = [], 0
     for t in texts:
-        b = t.encode("utf-8", "surrogatepass")[: most // 32]
-        if n + len(b) > most:
+        b = t.encode("utf-8", "surrogatepass")
+        start = zlib.crc32(b) % max(1, len(b) - PIECE_BYTES + 1)
+        parts.append(b[start:start + PIECE_BYTES])
+        n += len(parts[-1]) + 1
+        if n > most:
             break
-        parts.append(b)
-        n += len(b)
     return b"\n".join(parts)
 
 
@@ -151,12 +155,12 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fit_languages(docs: DataFrame, rows: int = SAMPLE_ROWS) -> dict[str, bytes]:
-    """A raw-content dictionary for each lang, from about `rows` documents of it, by hash of doc_id."""
+    """A raw-content dictionary of lower-cased text for each lang, from about `rows` documents of it, by hash of doc_id."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang")
     texts: dict[str, list[str]] = {}
     for r in fetch(docs, sample_by_class(known, "lang", rows).dropDuplicates(["doc_id", "lang"])):
         texts.setdefault(r["lang"], []).append(r["text"])
-    return {k: dictionary(texts[k]) for k in sorted(texts)}
+    return {k: dictionary([t.lower() for t in texts[k]]) for k in sorted(texts)}
 
 
 def predict_languages(docs: DataFrame, model: dict[str, bytes], keep: list[str], margin: float = 0.02) -> DataFrame:
@@ -175,7 +179,7 @@ def predict_languages(docs: DataFrame, model: dict[str, bytes], keep: list[str],
         names = list(b.value)
         for batch in batches:
             texts = batch.column("_text").to_pylist()
-            s = sizes(texts, list(b.value.values()))
+            s = sizes([t and t.lower() for t in texts], list(b.value.values()))
             letters = np.array([bool(t) and any(c.isalpha() for c in t) for t in texts], bool) & bool(names)
             share = s[:, :-1] / np.maximum(s[:, -1:], 1) if names else np.zeros((len(texts), 1))
             best = share.argmin(1)

@@ -10,9 +10,14 @@ from .compression import op3_quality_classifier, op7_language_id
 from .mixing import op8_source_mixing
 from .packing import op9_best_fit_packing
 from .rules import op5_quality_rules
+from .secrets import op1_secret_scan
 from .token_files import op4_token_files
+from .url_rules import SQL as URL_SQL
+from .url_rules import op2_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
+    "op2_url_filter": op2_url_filter,
     "op3_quality_classifier": op3_quality_classifier,
     "op4_token_files": op4_token_files,
     "op5_quality_rules": op5_quality_rules,
@@ -21,4 +26,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_url_filter": URL_SQL}
