@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .compression import op3_quality_classifier, op7_language_id
 from .mixing import op8_source_mixing
+from .ngram_join import op6_ngram_join
 from .packing import op9_best_fit_packing
 from .rules import op5_quality_rules
 from .secrets import op1_secret_scan
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_quality_classifier": op3_quality_classifier,
     "op4_token_files": op4_token_files,
     "op5_quality_rules": op5_quality_rules,
+    "op6_ngram_join": op6_ngram_join,
     "op7_language_id": op7_language_id,
     "op8_source_mixing": op8_source_mixing,
     "op9_best_fit_packing": op9_best_fit_packing,
