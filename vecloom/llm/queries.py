@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .compression import op3_quality_classifier, op7_language_id
+from .media import op10_image_copies
 from .mixing import op8_source_mixing
 from .ngram_join import op6_ngram_join
 from .packing import op9_best_fit_packing
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_source_mixing": op8_source_mixing,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_image_copies": op10_image_copies,
 }
 
 SQL: dict[str, str] = {"op2_url_filter": URL_SQL}
