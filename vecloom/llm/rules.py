@@ -9,6 +9,7 @@ expression over the statistics.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -175,7 +176,7 @@ def fit_rules(docs: DataFrame, labels: DataFrame, most_rows: int = 20_000, label
     rows = rows.sort_values(["doc_id", *FEATURES]).drop_duplicates("doc_id")
     if rows["y"].nunique() < 2:
         return []
-    return learn_decision_list({f: rows[f].to_numpy() for f in FEATURES}, rows["y"].to_numpy() == 0, np.arange(len(rows)))
+    return learn_decision_list({f: rows[f].to_numpy() for f in FEATURES}, rows["y"].to_numpy() == 0, np.array([zlib.crc32(str(d).encode()) for d in rows["doc_id"]]))
 
 
 def judge(docs: DataFrame, rules: list[Rule], keep: list[str]) -> DataFrame:
