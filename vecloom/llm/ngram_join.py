@@ -363,7 +363,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     # sizes within the threshold, and the prefix shingles that two linked sets share at least
     lo, hi = F.greatest("least", F.ceil(F.col("n") * 3 / 4)), F.least("largest", F.floor(F.col("n") * 4 / 3))
     need = lambda m: F.ceil((F.col("n") + m) * 3 / 7) - F.greatest(F.expr("(3 * n + 3) DIV 4"), F.floor((3 * m + 3) / 4)) + 1
-    meet = scratch.cut(meet.where(lo <= hi).where(F.col("c") >= F.least(need(lo), need(hi))).select("g", "sid", "n"))
+    # need rises with m up to n and falls beyond it, but for rounding: its least is at lo or in the last four sizes
+    least_need = F.least(need(lo), *(need(F.greatest(lo, hi - k)) for k in range(4)))
+    meet = scratch.cut(meet.where(lo <= hi).where(F.col("c") >= least_need).select("g", "sid", "n"))
     stored = members.join(meet.select(F.col("g").alias("label")).distinct(), "label").select(F.col("label").alias("g"), "sid", "n")
     rows, columns = _blocks(stored, "g"), _blocks(meet, "g").withColumnRenamed("blocks", "columns")
     grid = scratch.cut(rows.join(columns, "g"))
