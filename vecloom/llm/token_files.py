@@ -47,14 +47,15 @@ def write_token_files(docs: DataFrame, uri: str, tokenizer: str, end_id: int, do
     """Encode every whole text, append end_id, write the shards to uri and return the manifest.
 
     uri is on a file system that all executors reach. Null texts are empty
-    texts: they hold the end id alone. Rows with equal doc_id are all written, by text.
+    texts: they hold the end id alone. Rows with equal doc_id are all written, by a hash of the text.
     A null doc_id is stored as -1, so it comes first; other doc_ids aren't negative.
     No rows give no shard with documents.
     """
     spark = docs.sparkSession
     n = shuffle_partitions(spark)
     rows = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(-1)).alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(n, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    # the range bounds are sampled: by a hash of the text, as samples of texts would grow in the driver
+    rows = rows.withColumn("hash", F.xxhash64("text")).repartitionByRange(n, "doc_id", "hash").sortWithinPartitions("doc_id", "hash", "text").drop("hash")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
