@@ -13,12 +13,10 @@ def one(spark, column):
 
 
 def vec(*xs):
+    """A vector, or null without elements."""
     return F.array(*(F.lit(float(x)).cast("float") for x in xs)) if xs else F.lit(None).cast("array<float>")
 
 
-NULL = vec()
-
-
 @pytest.mark.parametrize("fn, a, b, want", [
     (V.l2_distance, (1, 2, 3), (4, 5, 6), 27**0.5), (V.l2_distance, (0, 0), (3, 4), 5), (V.l2_squared_distance, (0, 0), (3, 4), 25),
     (V.inner_product, (1, 2, 3), (4, 5, 6), 32), (V.negative_inner_product, (1, 2, 3), (4, 5, 6), -32),
@@ -30,7 +28,7 @@ def test_distances(spark, fn, a, b, want):
 
 def test_distances_of_nulls_and_of_different_dimensions(spark):
     for fn in (V.l2_distance, V.l2_squared_distance, V.inner_product, V.negative_inner_product, V.cosine_distance):
-        assert one(spark, fn(NULL, vec(1, 2))) is None and one(spark, fn(vec(1, 2), NULL)) is None
+        assert one(spark, fn(vec(), vec(1, 2))) is None and one(spark, fn(vec(1, 2), vec())) is None
         with pytest.raises(Exception, match="different vector dimensions"):
             one(spark, fn(vec(1, 2), vec(1, 2, 3)))
     assert str(one(spark, V.negative_inner_product(vec(1, 0), vec(0, 1)))) == "0.0"
@@ -39,7 +37,7 @@ def test_distances_of_nulls_and_of_different_dimensions(spark):
 
 
 def test_norm_dims_compare(spark):
-    assert one(spark, V.l2_norm(vec(3, 4))) == 5 and one(spark, V.vector_dims(vec(1, 2, 3))) == 3 and one(spark, V.vector_dims(NULL)) is None
+    assert one(spark, V.l2_norm(vec(3, 4))) == 5 and one(spark, V.vector_dims(vec(1, 2, 3))) == 3 and one(spark, V.vector_dims(vec())) is None
     assert [one(spark, V.compare(vec(*a), vec(*b))) for a, b in (((1, 2), (1, 3)), ((1, 2), (1, 2)), ((2,), (1, 9)), ((1, 2), (1, 2, 0)), ((0.0,), (-0.0,)))] == [-1, 0, 1, -1, 0]
 
 

@@ -10,11 +10,10 @@ Half-precision vectors are ARRAY<FLOAT> whose elements are rounded to IEEE half.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pandas as pd
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 MAX_DIM = 16_000
@@ -159,7 +158,7 @@ def _short(x: float) -> str:
     return f"{x:.6g}"
 
 
-@pandas_udf("string")
+@pandas_udf(T.StringType())
 def _format(v: pd.Series) -> pd.Series:
     return v.map(lambda a: None if a is None else "[" + ",".join(map(_short, a.tolist())) + "]")
 
@@ -169,7 +168,7 @@ def format_vector(v: Column | str) -> Column:
     return _format(_c(v))
 
 
-@pandas_udf("array<float>")
+@pandas_udf(T.ArrayType(T.FloatType()))
 def _half(v: pd.Series) -> pd.Series:
     import numpy as np
 
@@ -234,5 +233,3 @@ def sum_vector(v: Column | str, dim: int) -> Column:
     v = _c(v)
     return F.array(*(F.sum(v[i].cast("double")) for i in range(dim)))
 
-
-__all__ = [n for n in dir() if not n.startswith("_") and n not in ("Iterator", "pd", "annotations")]

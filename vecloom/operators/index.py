@@ -127,9 +127,10 @@ class VectorIndex:
 
     def postings(self, live: bool = True) -> DataFrame:
         """Entries of the version's lists; live leaves out deleted ones, else they are marked."""
-        df = self.spark.read.parquet(self.meta.segments[0]).withColumn("segment", F.lit("base"))
+        read = self.spark.read.schema(f"{POSTING}, seq long, part int").parquet  # a segment without rows has no schema of its own
+        df = read(self.meta.segments[0]).withColumn("segment", F.lit("base"))
         for s in self.meta.segments[1:]:
-            df = df.unionByName(self.spark.read.parquet(s).withColumn("segment", F.lit("delta")))
+            df = df.unionByName(read(s).withColumn("segment", F.lit("delta")))
         leaves = self.centroids().where("is_leaf").select("cluster_id")
         df = df.join(F.broadcast(leaves), "cluster_id", "left_semi") if "split" in self.meta.stats else df
         if not self.meta.tombstones:
