@@ -42,13 +42,13 @@ BLOCK_SHINGLES = 1_000_000
 
 
 class _WordHashes(dict):
-    """Hash of each word; the first million distinct words of a worker are kept."""
+    """Hash of each word; the first 400,000 distinct words of a worker are kept."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 1_000_000:
+        if len(self) < 400_000:
             self[word] = h
         return h
 
