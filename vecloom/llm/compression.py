@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc32_of, table
+from .tokens import slices
 
 #: Bytes in a dictionary and from each text in it, labelled rows of a class that fill it at most, bytes in a chunk.
 DICTIONARY_BYTES = 512 << 10
@@ -138,7 +139,7 @@ def score_quality(docs: DataFrame, model: QualityModel, keep: list[str]) -> Data
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["score double"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in slices(b, "_text")):
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(b.value.score(batch.column("_text").to_pylist()), pa.float64())], [*keep, "score"])
 
     return docs.select(*keep, F.col("text").alias("_text")).mapInArrow(run, schema)
@@ -177,7 +178,7 @@ def predict_languages(docs: DataFrame, model: dict[str, bytes], keep: list[str],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = list(b.value)
-        for batch in batches:
+        for batch in (p for b in batches for p in slices(b, "_text")):
             texts = batch.column("_text").to_pylist()
             s = sizes([t and t.lower() for t in texts], list(b.value.values()))
             letters = np.array([bool(t) and any(c.isalpha() for c in t) for t in texts], bool) & bool(names)

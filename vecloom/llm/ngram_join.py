@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components, grouped, shuffle_partitions, table
+from .tokens import slices
 
 #: Cells of the sketch of document frequencies (2**22), in rows of 2**15: 8 MB a task while it counts, 512 kB of bits in the end.
 SKETCH_BITS = 22
@@ -42,13 +43,13 @@ BLOCK_SHINGLES = 1_000_000
 
 
 class _WordHashes(dict):
-    """Hash of each word; the first 400,000 distinct words of a worker are kept."""
+    """Hash of each word; the first 150,000 distinct words of a worker are kept."""
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
 
         h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < 400_000:
+        if len(self) < 150_000:
             self[word] = h
         return h
 
@@ -86,7 +87,7 @@ def _summaries(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("row", pa.int64()), ("cells", pa.binary())])
         cells = np.zeros(1 << SKETCH_BITS, np.uint16)
-        for batch in batches:
+        for batch in (p for b in batches for p in slices(b, "text")):
             ids, n, sid = batch.column("doc_id"), [], []
             for t in batch.column("text").to_pylist():
                 s = shingle_set(t)
@@ -319,7 +320,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()  # copies within a task give their prefix once
-        for batch in batches:
+        for batch in (p for b in batches for p in slices(b, "text")):
             tokens, sids, sizes = [], [], []
             for t in batch.column("text").to_pylist():
                 s = shingle_set(t)

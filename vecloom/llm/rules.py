@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .tokens import slices
 
 _SPACE = b" \t\n\x0b\x0c\r"
 _SYMBOLS = b"#*$%&|<>"
@@ -77,7 +78,7 @@ def with_stats(docs: DataFrame, keep: list[str], text: str = "text") -> DataFram
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + [STATS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (p for b in batches for p in slices(b, "_text")):
             stats = np.array([text_stats(x) for x in batch.column("_text").to_pylist()], np.int64).reshape(-1, len(names))
             yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), *(pa.array(stats[:, i]) for i in range(len(names)))], [*keep, *names])
 

@@ -27,7 +27,7 @@ _SPACE = " \t\n\x0b\x0c\r"
 class WordTokenizer:
     """Ids of texts. The cache keeps the first cache_words words, which bounds its memory; others are encoded anew."""
 
-    def __init__(self, path: str, cache_words: int = 400_000):
+    def __init__(self, path: str, cache_words: int = 150_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
