@@ -71,8 +71,10 @@ class WordTokenizer:
                      ([w for w in words if w[0] not in _SPACE and w[-1] not in _SPACE], "\n")]
         out: dict[str, bytes] = {}
         for some, sep in kinds:
-            if (ids := self._many(some, sep)) is not None:
-                out.update(zip(some, ids))
+            for i in range(0, len(some), 20_000):  # an encoding takes some 100 bytes a token while it lasts
+                part = some[i:i + 20_000]
+                if (ids := self._many(part, sep)) is not None:
+                    out.update(zip(part, ids))
         for w in words:
             if w not in out:
                 out[w] = self.whole(w).tobytes()
@@ -139,7 +141,7 @@ def loaded(path: str) -> WordTokenizer:
     return _LOADED[path]
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 6 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that its texts hold about `most` bytes; one long text is never cut."""
     if not batch.num_rows:
         return
