@@ -14,7 +14,7 @@ def docs(spark, texts, sources=None, clash=False):
     rows = []
     for i, t in enumerate(texts):
         i, t = t if isinstance(t, tuple) else (i, t)
-        s = sources[len(rows)] if sources else f"s{i % 3}"
+        s = sources[len(rows)] if sources else f"s{(i or 0) % 3}"
         rows.append((i, t, "en", s, None if t is None else len(t)) + ((1, 2.0, "x", 3, "y", "z", "c", "p", "k", "r", "n") if clash else ()))
     return spark.createDataFrame(rows, CLASHING if clash else DOCS)
 
