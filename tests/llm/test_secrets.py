@@ -1,6 +1,8 @@
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import urllib.parse
 
@@ -88,3 +90,40 @@ def test_table(spark):
         assert r.base_sha256 == hashlib.sha256(joined(base).encode()).hexdigest()
         assert (r.redacted is None) == (t is None)
     assert scan_texts(empty(spark), ["doc_id"]).count() == 0
+
+
+def zstd(x):
+    return zstandard.compress(x.encode())
+
+
+JUNK = "".join(hashlib.sha256(str(i).encode()).hexdigest() for i in range(200))
+PARTS = {
+    **{f"behind {p}": p + b64(S) for p in ("https://host/cb/", "https://host/c/", "key_", "a-", "ab", "abc")},
+    "gzip behind a path": "https://host/cb/" + b64(gzip.compress(S.encode())),
+    "wrapped gzip": base64.encodebytes(gzip.compress((JUNK + S).encode())).decode(), "wrapped zstd": base64.encodebytes(zstd(JUNK + S)).decode().replace("\n", "\r\n  "),
+    "over a line end": "\n".join(re.findall(".{1,20}", b64("some words before it " + S))), "narrow lines": "\n".join(re.findall(".{1,8}", b64(S))),
+    "two gzip members": b64(gzip.compress(b"nothing") + gzip.compress(S.encode())), "secret over members": b64(gzip.compress(S[:9].encode()) + b"\0" * 5 + gzip.compress(S[9:].encode())),
+    "two bz2 streams": b64(bz2.compress(b"nothing") + bz2.compress(S.encode())), "two xz streams": b64(lzma.compress(b"nothing") + lzma.compress(S.encode())),
+    "three zstd frames": b64(zstd("a") + b"\x50\x2aM\x18\x03\0\0\0abc" + zstd(S)), "text behind gzip": b64(gzip.compress(b"nothing") + b"\0" + S.encode()),
+    "cut gzip": b64(gzip.compress((S + JUNK).encode())[:-500]),
+}
+
+
+@pytest.mark.parametrize("how", PARTS)
+def test_runs_out_of_step_wrapped_and_of_several_members(how):
+    text = f"Größe {PARTS[how]} end"
+    _, spans, _ = find_secrets(text)
+    assert any(k == 0 for _, k, _ in spans) and text.startswith("Größe ") and all(6 <= a < b <= len(text) - 4 for a, _, b in spans)
+
+
+def test_prefix_of_a_run_stays():
+    text = "https://host/cb/" + b64(S)
+    assert redact(text, find_secrets(text)[1]).startswith("https://host/cb/")
+
+
+@pytest.mark.parametrize("pack", [gzip.compress, bz2.compress, lzma.compress, zstandard.compress])
+@pytest.mark.parametrize("inner", [S, b64(S)])
+def test_long_layers_are_scanned_to_the_end(pack, inner):
+    for at in (99_990, 93_740, 350_000):
+        _, spans, long = find_secrets(b64(pack((" " * at + inner + " " * 50_000).encode())), most=100_000)
+        assert long == 1 and {k for _, k, _ in spans} == {0}

@@ -32,11 +32,23 @@ _HEX = re.compile(r"[0-9a-f]{32,}")
 _WORDS = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _UNICODE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#([0-9]{1,7});|&#[xX]([0-9A-Fa-f]{1,6});")
-#: Runs shorter than the base64 of the shortest secret are no candidates.
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{18,}={0,2}")
+#: Bytes of the shortest secret, and characters of its base64: shorter stretches and runs are no candidates.
+_SHORTEST, _SHORTEST_BASE64 = 14, 18
+_LINE = re.compile(r"[A-Za-z0-9+/_-]++={0,2}")
+_BASE64 = re.compile(r"[A-Za-z0-9+/_-]++(?:[ \t]*\r?\n[ \t]*[A-Za-z0-9+/_-]++)*+={0,2}")
+_LINE_END = re.compile(rb"[ \t]*\r?\n[ \t]*")
+_STANDARD = bytes.maketrans(b"-_", b"+/")
+#: Starts of compressed data: gzip, bzip2, xz, zstd with its skippable frames, and the common ones of zlib.
+_MAGIC = re.compile(rb"\x1f\x8b\x08|BZh[1-9](?:1AY&SY|\x17rE8P\x90)|\xfd7zXZ\x00|\x28\xb5\x2f\xfd|[\x50-\x5f]\x2aM\x18|\x78[\x01\x5e\x9c\xda]", re.DOTALL)
+_SKIPPED = re.compile(rb"[\x50-\x5f]\x2aM\x18")
+_ZEROS = re.compile(rb"\x00*+")
+_PIECE = 1 << 20
+#: Text as UTF-8, without control characters.
+_STRETCH = re.compile(rb"(?:[\t\n\r -~]++|[\xc2-\xdf][\x80-\xbf]|\xe0[\xa0-\xbf][\x80-\xbf]|[\xe1-\xec\xee\xef][\x80-\xbf]{2}|\xed[\x80-\x9f][\x80-\xbf]"
+                      rb"|\xf0[\x90-\xbf][\x80-\xbf]{2}|[\xf1-\xf3][\x80-\xbf]{3}|\xf4[\x80-\x8f][\x80-\xbf]{2})++")
 _HEX_BYTES = bytes(120 if chr(c) in "0123456789abcdef" else 32 for c in range(256))
 _B64_BYTES = bytes(120 if chr(c) in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-" else 32 for c in range(256))
-_TEXT_BYTES = bytes(range(32, 127)) + b"\t\n\r"
+_IS_BASE64 = np.frombuffer(_B64_BYTES, np.uint8) == 120
 
 Span = tuple[int, int, int]  # start, number of the kind, end
 
@@ -78,103 +90,169 @@ def _undo_unicode(m: re.Match) -> tuple[int, int, str, list[int]] | None:
     return (m.start(), m.end(), chr(code), [m.end() - m.start()]) if code < 0x110000 else None
 
 
-def _unpack(data: bytes, most: int) -> tuple[bytes, bool] | None:
-    """What compressed data holds, and whether that was more than `most` bytes; None if it isn't compressed."""
+def _inflate(data: bytes, at: int, end: list[int]) -> Iterator[bytes]:
+    """What one member or frame at `at` holds, in pieces; its end goes to end[0]. A broken or cut one gives what comes before that."""
+    head = data[at:at + 8]
+    if _SKIPPED.match(head):
+        if len(head) == 8:
+            end[0] = min(at + 8 + int.from_bytes(head[4:], "little"), len(data))
+        return
+    step = 1 << 14
     try:
-        if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and len(data) > 2 and (data[0] * 256 + data[1]) % 31 == 0:
+        if head[:1] in (b"\x1f", b"\x78"):
             z = zlib.decompressobj(47)
-            out = z.decompress(data, most)
-            return out, bool(z.unconsumed_tail)
-        if data[:3] == b"BZh":
+        elif head[:1] == b"B":
             z = bz2.BZ2Decompressor()
-            return z.decompress(data, most), not z.eof
-        if data[:6] == b"\xfd7zXZ\x00":
-            z = lzma.LZMADecompressor()
-            return z.decompress(data, most), not z.eof
-        if data[:4] == b"\x28\xb5\x2f\xfd":
+        elif head[:1] == b"\xfd":
+            z = lzma.LZMADecompressor(lzma.FORMAT_XZ)
+        else:
             import zstandard
 
-            with zstandard.ZstdDecompressor().stream_reader(data) as r:
-                out = r.read(most)
-                return out, bool(r.read(1))
+            z, step = zstandard.ZstdDecompressor().decompressobj(), 64  # gives all that a step holds at once: 2 MB at most
+        while not z.eof and at < len(data):
+            piece = data[at:at + step]
+            at += len(piece)
+            while True:
+                out = z.decompress(piece) if step == 64 else z.decompress(piece, _PIECE)
+                if out:
+                    yield out
+                piece = getattr(z, "unconsumed_tail", b"")
+                if z.eof or step == 64 or getattr(z, "needs_input", not piece and len(out) < _PIECE):
+                    break
+        if z.eof:
+            end[0] = at - len(z.unused_data)
     except (zlib.error, OSError, EOFError, ValueError, lzma.LZMAError):
-        return None
+        return
     except Exception as e:
         if type(e).__name__ != "ZstdError":
             raise
-    return None
 
 
-def _is_text(data: bytes) -> bool:
-    try:
-        data.decode("utf-8")
-    except UnicodeDecodeError:
-        return False
-    ascii_part = bytes(c for c in data if c < 128)
-    return not ascii_part.translate(None, _TEXT_BYTES) and bool(ascii_part)
+def _stream(data: bytes, at: int, end: list[int]) -> Iterator[bytes]:
+    """What the members or frames from `at` on hold, one after the other (zeros may lie between); the last one's end goes to end[0]."""
+    while True:
+        stop = [at]
+        yield from _inflate(data, at, stop)
+        if stop[0] == at:
+            return
+        end[0] = at = stop[0]
+        at = _ZEROS.match(data, at).end()
+        if not _MAGIC.match(data, at):
+            return
+
+
+def _unpacked(data: bytes, most: int) -> Iterator[tuple[int, int, bytes, bool]]:
+    """(start, end, content, first window of a long one) of what is compressed in data, wherever it starts.
+
+    Content of more than `most` bytes comes in windows of that size that overlap by a sixteenth.
+    """
+    pos = 0
+    while pos < len(data):
+        m = _MAGIC.search(data, pos)
+        odd = pos == 0 and data[:1] == b"\x78" and len(data) > 2 and int.from_bytes(data[:2]) % 31 == 0
+        if not m and not odd:
+            return
+        at = 0 if odd else m.start()
+        end, held, long = [at], bytearray(), False
+        for piece in _stream(data, at, end):
+            held += piece
+            while len(held) > most:
+                yield at, len(data), bytes(held[:most]), not long
+                long = True
+                del held[:max(most - most // 16, 1)]
+        if len(held) >= _SHORTEST:
+            yield at, len(data) if long or end[0] == at else end[0], bytes(held), False
+        pos = end[0] if end[0] > at else at + 1
+
+
+def _texts(data: bytes) -> Iterator[tuple[int, bytes]]:
+    """Stretches of data that are text and may hold a secret."""
+    for m in _STRETCH.finditer(data):
+        if m.end() - m.start() >= _SHORTEST:
+            yield m.start(), m[0]
 
 
 def _base64_layers(text: str, starts: np.ndarray, ends: np.ndarray, most: int):
-    """(text, starts, ends, cut off) of each base64 run that holds text, compressed or not."""
-    for m in _BASE64.finditer(text):
-        run = m[0].rstrip("=")
-        b = run.replace("-", "+").replace("_", "/")
-        # cheap rejection: the first bytes are neither text nor a known magic number
-        head = base64.b64decode(b[:12])
-        if head.translate(None, _TEXT_BYTES) and head[:1] not in b"\x1f\x78B\xfd\x28" and max(head) < 128 or len(b) % 4 == 1:
-            continue
-        data = base64.b64decode(b + "=" * (-len(b) % 4))
-        unpacked, over = False, False
-        while (got := _unpack(data, most)) is not None:
-            data, unpacked, over = got[0], True, over or got[1]
-            if over:
-                break
-        if over:
-            new = data.decode("utf-8", "replace")
-        elif _is_text(data):
-            new = data.decode("utf-8")
-        else:
+    """What base64 runs hold: text with starts and ends of its characters, or unpacked bytes with one start and end.
+
+    A run may go on over line ends. It may also start with what isn't base64 (a
+    path, a name), so it is decoded from each of its first four characters. As a
+    line end may also end the run, lines are decoded alone too.
+    """
+    for group in _BASE64.finditer(text):
+        if group.end() - group.start() < _SHORTEST_BASE64:
             continue
-        if unpacked:
-            s, e = np.full(len(new), starts[m.start()]), np.full(len(new), ends[m.end() - 1])
-        else:
-            n = np.fromiter((len(c.encode()) for c in new), np.int64, len(new))
-            stop = np.cumsum(n)
-            s = starts[m.start() + (stop - n) * 8 // 6]
-            e = ends[m.start() + np.minimum((stop * 8 - 1) // 6, len(run) - 1)]
-        yield new, s, e, over
+        runs = [(group.start(), group.end())]
+        if "\n" in group[0]:
+            runs += [(m.start(), m.end()) for m in _LINE.finditer(text, *group.span()) if m.end() - m.start() >= _SHORTEST_BASE64]
+        for a, b in runs:
+            raw = np.frombuffer(text[a:b].encode(), np.uint8)
+            own = np.flatnonzero(_IS_BASE64[raw])
+            chars = raw[own].tobytes().translate(_STANDARD)
+            if len(chars) < _SHORTEST_BASE64:
+                continue
+            for off in range(4):
+                part = chars[off:len(chars) - ((len(chars) - off) % 4 == 1)]
+                data = base64.b64decode(part + b"=" * (-len(part) % 4))
+                at = own[off:off + len(part)] + a
+                for i, piece in _texts(data):
+                    new = piece.decode("utf-8")
+                    n = np.fromiter((len(c.encode()) for c in new), np.int64, len(new)) if not new.isascii() else np.ones(len(new), np.int64)
+                    stop = i + np.cumsum(n)
+                    yield new, starts[at[(stop - n) * 8 // 6]], ends[at[np.minimum((stop * 8 - 1) // 6, len(at) - 1)]], False
+                for i, j, content, long in _unpacked(data, most):
+                    last = b - 1 if j == len(data) else at[(j * 8 - 1) // 6]
+                    yield content, starts[at[i * 8 // 6]], ends[last], long
+
+
+def _inside(layer: str | bytes, starts, ends, most: int):
+    """The layers in a layer, one at a time: (text, starts, ends, long), or (bytes, start, end, long) of what was compressed."""
+    if isinstance(layer, bytes):
+        for _, piece in _texts(layer):
+            new = piece.decode("utf-8")
+            yield new, np.broadcast_to(starts, len(new)), np.broadcast_to(ends, len(new)), False
+        for _, _, content, long in _unpacked(layer, most):
+            yield content, starts, ends, long
+        return
+    for pattern, undo in ((_URL, _undo_url), (_UNICODE, _undo_unicode)):
+        if edits := [x for x in map(undo, pattern.finditer(layer)) if x]:
+            yield *_edited(layer, starts, ends, edits), False
+    yield from _base64_layers(layer, starts, ends, most)
 
 
 def find_secrets(text: str | None, most: int = 64 << 20) -> tuple[list[Span], list[Span], int]:
     """(spans of the text itself, all spans with those of its layers, layers that were longer than `most` bytes).
 
     Spans are in code points of the whole text, end exclusive. Null is the empty
-    text. `most` bounds what one layer unpacks to, against compression bombs: such a
-    layer is scanned up to there and counted.
+    text. `most` bounds memory, against compression bombs: what unpacks to more is
+    scanned to its end in windows of that size and counted. Only a layer that lies
+    over the edge of a window and doesn't fit the overlap (a sixteenth) is met in parts.
     """
     text = text or ""
     raw = text.encode("utf-8", "surrogatepass")
     base = scan(text, raw)
     coded = b"%" in raw or b"\\" in raw or b"&#" in raw
-    if not coded and b"x" * 18 not in raw.translate(_B64_BYTES):
+    if not coded and b"x" * _SHORTEST_BASE64 not in (_LINE_END.sub(b"", raw) if b"\n" in raw else raw).translate(_B64_BYTES):
         return base, base, 0
     found, over = set(base), 0
     same = np.arange(len(text) + 1)
-    work, seen = [(text, same[:-1], same[1:])], set()
+    seen: set[tuple[bytes, int]] = set()
+    work = [iter([(text, same[:-1], same[1:], False)])]
     while work:
-        layer, starts, ends = work.pop()
-        key = (hashlib.blake2b(layer.encode("utf-8", "surrogatepass"), digest_size=16).digest(), int(starts[0]) if len(starts) else 0)
+        if (item := next(work[-1], None)) is None:
+            work.pop()
+            continue
+        layer, starts, ends, long = item
+        over += long
+        binary = isinstance(layer, bytes)
+        coded = layer if binary else layer.encode("utf-8", "surrogatepass")
+        key = (hashlib.blake2b(coded, digest_size=16, person=b"b" if binary else b"").digest(), int(starts if binary else starts[0] if len(starts) else 0))
         if key in seen:
             continue
         seen.add(key)
-        if len(seen) > 1:
-            found.update((int(starts[a]), k, int(ends[b - 1])) for a, k, b in scan(layer))
-        for pattern, undo in ((_URL, _undo_url), (_UNICODE, _undo_unicode)):
-            if edits := [x for x in map(undo, pattern.finditer(layer)) if x]:
-                work.append(_edited(layer, starts, ends, edits))
-        for new, s, e, cut_off in _base64_layers(layer, starts, ends, most):
-            over += cut_off
-            work.append((new, s, e))
+        if len(seen) > 1 and not binary:
+            found.update((int(starts[a]), k, int(ends[b - 1])) for a, k, b in scan(layer, coded))
+        work.append(_inside(layer, starts, ends, most))
     return base, sorted(found), over
 
 
