@@ -67,3 +67,30 @@ def test_empty_and_repeated(spark):
     pages = spark.createDataFrame([(1, "http://com/en/"), (1, "http://com/en/")], "page_id long, url string")
     none = spark.createDataFrame([], "src string, dst string")
     assert U.judge_urls(pages, U.RULES, none, ["page_id"]).count() == 2
+
+
+BASE = "http://b.com/b/c/d;p?q#f"
+#: Target and node that it means on BASE (RFC 3986, 5.4).
+TARGETS = {
+    "g": "b.com/b/c/g", "./g": "b.com/b/c/g", "g/": "b.com/b/c/g/", "/g": "b.com/g", "//g": "g/", "?y": "b.com/b/c/d;p?y", "g?y": "b.com/b/c/g?y", "#s": "b.com/b/c/d;p?q", "g;x=1/../y": "b.com/b/c/y",
+    ".": "b.com/b/c/", "..": "b.com/b/", "../g": "b.com/b/g", "../..": "b.com/", "../../../g": "b.com/g", "/./g": "b.com/g", "/../g": "b.com/g", "g..": "b.com/b/c/g..", "./../g": "b.com/b/g", "": None,
+    "mailto:a@x.com": None, "javascript:go('http://com/')": None, "g?u=http://com/en/1": "b.com/b/c/g?u=http://com/en/1", " \n/g\t": "b.com/g", "HTTP://Com/en/../x": "com/en/../x",
+}
+
+
+def test_targets_are_resolved(spark):
+    got = spark.createDataFrame([(t,) for t in TARGETS], "t string").select("t", U.node_of(U.resolved(U.F.lit(BASE), U.F.col("t"))).alias("node"))
+    assert {r.t: r.node for r in got.collect()} == TARGETS
+    assert spark.range(1).select(U.node_of(U.resolved(U.F.lit("http://b.com"), U.F.lit("g")))).first()[0] == "b.com/g"
+
+
+def test_relative_escaped_and_repeated_tags(spark):
+    html = [
+        '<meta http-equiv="refresh" content="0; url=page2.html">', "<meta http-equiv=refresh content='0;URL=\"?id=3&amp;x=&#x41;&#66;\"'>", '<link rel="canonical" href="../x?a=1&amp;amp;b=&eacute;&unknown;&">',
+        '<link rel=canonical href=one><link rel=canonical data-href=no href=two><meta http-equiv="refresh" content="1;url=three"><META HTTP-EQUIV="refresh" CONTENT="1;url=\'four\'">',
+        '<base href="//org/es/"><link rel="canonical" href="y">', '<meta http-equiv="refresh" content="0;url=&#1114112;&#xD800;">', '<meta http-equiv="refresh" content="5">']
+    pages = spark.createDataFrame([(i, f"http://x.com/d/{i}", h) for i, h in enumerate(html)], "page_id long, url string, html string")
+    got = {(r.src[-1], r.dst) for r in U.html_links(pages).collect() if r.dst}
+    assert got == {("0", "x.com/d/page2.html"), ("1", "x.com/d/1?id=3&x=AB"), ("2", "x.com/x?a=1&amp;b=é&unknown;&"), ("4", "org/es/y"), ("5", "x.com/d/\ufffd\ufffd")} | {("3", f"x.com/d/{n}") for n in ("one", "two", "three", "four")}
+    pages = spark.createDataFrame([(0, "http://com/en/a/", '<meta http-equiv="refresh" content="0; url=../b?x=1&amp;y=2">'), (1, "http://x.io/1", '<link rel="canonical" href="p"><link rel="canonical" href="//com/en/b?x=1&amp;y=2">'), (2, "http://x.io/p", None)], pages.schema)
+    assert {r.verdict for r in U.judge_urls(pages, U.RULES, U.html_links(pages), ["page_id"]).collect()} == {"block"}

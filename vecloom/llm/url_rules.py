@@ -8,6 +8,10 @@ it with. An alias that a rule allows outweighs those that rules block.
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+from html.entities import html5
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +24,10 @@ _REFRESH = r"""(?is)<meta\b[^>]*\bhttp-equiv\s*=\s*["']?refresh\b[^>]*>"""
 _HREF = r"""(?is)\bhref\s*=\s*["']?\s*([^"'\s>]+)"""
 _GOTO = r"""(?is)\burl\s*=\s*["']?\s*([^"'\s>;]+)"""
 
+_BASE = r"""(?is)<base\b[^>]*\bhref\s*=[^>]*>"""
+#: Character references by name.
+_NAMES = {k[:-1]: v for k, v in html5.items() if k.endswith(";")}
+
 
 def ascii_lower(c: Column) -> Column:
     return F.translate(c, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -52,19 +60,83 @@ def rule_for(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column
     return out
 
 
+def _let(c: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of a value that is worked out once: a lambda's variable isn't written out where it is used."""
+    return F.element_at(F.transform(F.array(c), fn), 1)
+
+
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of a tag's attribute as it is written; empty where it has none."""
+    pattern = rf"""(?is)[\s"'/]{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^"'\s>][^\s>]*))"""
+    return _let(tag, lambda t: F.concat(*(F.regexp_extract(t, pattern, k) for k in (1, 2, 3))))
+
+
+def _unescaped(c: Column) -> Column:
+    """Character references undone in one pass, those by name and by number; unknown ones stay."""
+    names = F.from_json(F.lit(json.dumps(_NAMES)), "map<string,string>")
+
+    def character(code: Column) -> Column:
+        legal = (code > 0) & (code < 0x110000) & ~code.between(0xD800, 0xDFFF)
+        return F.decode(F.unhex(F.lpad(F.hex(F.when(legal, code).otherwise(0xFFFD)), 8, "0")), "UTF-32")
+
+    def undo(x: Column) -> Column:
+        code = F.when(x.rlike("^&#[xX]"), F.conv(F.regexp_extract(x, "^&#[xX](.*);$", 1), 16, 10)).otherwise(F.regexp_extract(x, "^&#(.*);$", 1))
+        return F.when(~x.startswith("&") | ~x.endswith(";"), x).when(x == "&amp;", "&").when(x.startswith("&#"), _let(code.try_cast("long"), character)).otherwise(
+            F.coalesce(F.try_element_at(names, F.regexp_extract(x, "^&(.*);$", 1)), x))
+
+    parts = F.regexp_extract_all(c, F.lit(r"(?s)&(?:#[0-9]{1,9}|#[xX][0-9A-Fa-f]{1,8}|[A-Za-z][A-Za-z0-9]{1,40});|&|[^&]+"), F.lit(0))
+    return F.array_join(F.transform(parts, undo), "")
+
+
+def _no_dots(path: Column) -> Column:
+    """A path from / on without its . and .. segments (RFC 3986, 5.2.4)."""
+    add = lambda out, x: F.when(x == ".", out).when(x == "..", F.slice(out, 1, F.greatest(F.size(out) - 1, F.lit(1)))).otherwise(F.concat(out, F.array(x)))
+    kept = lambda parts: F.aggregate(F.slice(parts, 2, F.size(parts)), F.array(F.lit("")), add)
+
+    def clean(p: Column) -> Column:
+        end = F.when(p.rlike(r"/\.\.?$"), "/").otherwise("")
+        return F.when(p.rlike(r"/\.\.?(?:/|$)"), _let(F.concat(F.array_join(_let(F.split(p, "/"), kept), "/"), end), lambda out: F.when(out == "", "/").otherwise(out))).otherwise(p)
+
+    return _let(path, clean)
+
+
+def resolved(base: Column, to: Column) -> Column:
+    """The url that `to` means on a page whose absolute url is base; null for schemes without // and for an empty target.
+
+    Targets that have a host stay as they are written.
+    """
+
+    def target(base: Column, to: Column) -> Column:
+        path, rest = F.regexp_extract(to, r"^[^?#]*", 0), F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)
+        own = _let(path_of(base), lambda p: F.when(p == "", "/").otherwise(p))
+        query = F.regexp_extract(base, r"(?s)^.*?://[^?#]*(\?[^#]*)", 1)
+        merged = F.when(to.startswith("/"), path).otherwise(F.concat(F.regexp_extract(own, r"(?s)^.*/", 0), path))
+        tail = F.when(to.startswith("#"), F.concat(own, query, to)).when(to.startswith("?"), F.concat(own, rest)).otherwise(F.concat(_no_dots(merged), rest))
+        return F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to).when((to == "") | to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), None).when(
+            to.startswith("//"), F.concat(F.lit("x:"), to)).otherwise(_let(host_of(base), lambda h: F.when(h != "", F.concat(F.lit("x://"), h, tail))))
+
+    clean = F.regexp_replace(F.regexp_replace(to, r"^[\x00-\x20]+|[\x00-\x20]+$", ""), r"[\t\n\r]", "")
+    return _let(base, lambda b: _let(clean, lambda t: target(b, t)))
+
+
 def html_links(pages: DataFrame) -> DataFrame:
-    """(src, dst) nodes of the canonical link and the meta refresh in each page's whole html.
+    """(src, dst) nodes of all canonical links and meta refreshes in each page's whole html.
 
-    Targets with a scheme, from // or from / are read; others are relative to no known base and are left.
+    Targets are resolved against the page's url, or its base tag where it has one.
     """
-    found = F.array_compact(F.array(
-        F.when(F.col("html").rlike(_CANONICAL), F.regexp_extract(F.regexp_extract("html", _CANONICAL, 0), _HREF, 1)),
-        F.when(F.col("html").rlike(_REFRESH), F.regexp_extract(F.regexp_extract("html", _REFRESH, 0), _GOTO, 1))))
+    every = lambda pattern, name, goto: F.transform(
+        F.regexp_extract_all("html", F.lit(pattern), F.lit(0)), lambda tag: F.struct(_attribute(tag, name).alias("value"), F.lit(goto).alias("goto")))
+    goto = r"""(?is)^\s*[0-9.]*(?:\s*[;,]\s*|\s+)(?:url\s*=\s*)?(?:"([^"]*)|'([^']*)|([^"'].*))"""
     raw = pages.where("url IS NOT NULL AND html IS NOT NULL AND (lower(html) LIKE '%canonical%' OR lower(html) LIKE '%refresh%')")
-    raw = raw.select("url", F.explode(found).alias("to"))
-    to = F.col("to")
-    full = F.when(to.startswith("//"), F.concat(F.lit("x:"), to)).when(to.startswith("/"), F.concat(F.lit("x://"), host_of(F.col("url")), to)).otherwise(to)
-    return raw.select(node_of(F.col("url")).alias("src"), node_of(full).alias("dst"))
+    found = F.concat(every(_CANONICAL, "href", False), every(_REFRESH, "content", True))
+    raw = raw.select("url", _attribute(F.regexp_extract("html", _BASE, 0), "href").alias("base"), F.explode(found).alias("found"))
+
+    def end(both: Column) -> Column:
+        aim = _let(both[1], lambda v: F.when(F.col("found.goto"), F.concat(*(F.regexp_extract(v, goto, k) for k in (1, 2, 3)))).otherwise(v))
+        return _let(resolved(F.coalesce(resolved(F.col("url"), both[0]), F.col("url")), aim), node_of)
+
+    both = F.transform(F.array("base", "found.value"), _unescaped)
+    return raw.select(node_of(F.col("url")).alias("src"), _let(both, end).alias("dst"))
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str]], links: DataFrame, keep: list[str], url: str = "url") -> DataFrame:
