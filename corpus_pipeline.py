@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from vecloom.llm.common import Scratch, table
 from vecloom.llm.mixing import cycled_weights, weighted_mix, word_count
-from vecloom.llm.ngram_join import near_duplicates
+from vecloom.llm.ngram_join import first_rows, row_key
 from vecloom.llm.packing import pack_documents
 from vecloom.llm.rules import fit_rules, judge
 from vecloom.llm.secrets import scan_texts
@@ -22,9 +22,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the least doc_id stays, once if its row is repeated."""
-    stay = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(stay, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Of each group of near duplicates the document with the least doc_id (null last) stays, once if its row is repeated."""
+    rows = docs.select(*COLUMNS, row_key().alias("key"))
+    return rows.join(first_rows(docs), "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

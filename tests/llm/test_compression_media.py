@@ -116,3 +116,11 @@ def test_vectors_as_pictures(spark):
     v = spark.createDataFrame([(0, [0.5] * 64), (1, None), (2, [float("nan")] * 64), (3, [])], "id long, v array<float>")
     got = {r.image_id: r.image for r in M.pictures_of_vectors(v).collect()}
     assert got[0] is not None and got[1] is None and got[2] is None and got[3] is None
+
+
+def test_null_and_repeated_image_ids(spark):
+    rng = np.random.default_rng(2)
+    a, b, c = (picture(rng) for _ in range(3))
+    rows = [row(None, a), row(None, edited(rng, a, "bright")), row(None, b), row(4, edited(rng, b, "bright")), row(5, c), row(5, edited(rng, b, "noise")), (None, None)]
+    got = [(r.image_id, r.component_id) for r in M.image_copies(spark.createDataFrame(rows, f"image_id long, image {M.IMAGE}")).collect()]
+    assert sorted(got, key=str) == sorted([(None, None), (None, None), (None, 4), (4, 4), (5, 5), (5, 4), (None, None)], key=str)

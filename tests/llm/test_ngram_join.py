@@ -71,3 +71,11 @@ def test_edges(spark):
     assert sorted((r.doc_id, r.component_id) for r in twice) == [(5, 5), (5, 5), (7, 5)]
     long = prose(random.Random(4), 30_000)
     assert result(spark, docs(spark, [long, long + " end"]))[1][1] == 0
+
+
+def test_null_and_repeated_ids(spark):
+    rng = random.Random(6)
+    a, b, c, d = (prose(rng, 40) for _ in range(4))
+    rows = [(None, a), (None, near(rng, a, 1)), (None, b), (3, near(rng, b, 1)), (5, c), (5, d), (6, near(rng, d, 1)), (None, None), (None, "")]
+    got = sorted(((r.doc_id, r.component_id) for r in N.near_duplicates(docs(spark, rows)).collect()), key=str)
+    assert got == sorted([(None, None), (None, None), (None, 3), (3, 3), (5, 5), (5, 5), (6, 5), (None, None), (None, None)], key=str)

@@ -44,3 +44,11 @@ def test_repeated_rows(spark):
     d = docs(spark, [(1, "a b c d e f"), (1, "a b c d e f"), (2, "a b c d e f")])
     assert cp.ngram_join(spark, d, "").count() == 1
     assert cp.source_mixing(spark, d, "").select("doc_id").distinct().count() >= 1
+
+
+def test_null_and_repeated_ids_stay(spark):
+    rng = random.Random(7)
+    a, b, c, e = (prose(rng, 40) for _ in range(4))
+    d = docs(spark, [(None, a), (None, a), (None, a + " more"), (None, b), (3, b), (5, c), (5, e), (None, c + " more"), (5, e)])
+    got = [(r.doc_id, r.text) for r in cp.ngram_join(spark, d, "").collect()]
+    assert len(got) == 4 and set(got) in ({(None, a), (3, b), (5, c), (5, e)}, {(None, a + " more"), (3, b), (5, c), (5, e)})

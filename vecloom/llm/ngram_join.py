@@ -25,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components, grouped, shuffle_partitions, table
@@ -82,13 +82,13 @@ def set_id(s: np.ndarray) -> int:
 
 
 def _summaries(docs: DataFrame) -> DataFrame:
-    """kind 0: doc_id, n_shingles, sid of each document. kind 1: rows of a task's sketch, compressed."""
+    """kind 0: doc_id, key, n_shingles, sid of each document. kind 1: rows of a task's sketch, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("row", pa.int64()), ("cells", pa.binary())])
+        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("row", pa.int64()), ("cells", pa.binary())])
         cells = np.zeros(1 << SKETCH_BITS, np.uint16)
         for batch in (p for b in batches for p in slices(b, "text")):
-            ids, n, sid = batch.column("doc_id"), [], []
+            n, sid = [], []
             for t in batch.column("text").to_pylist():
                 s = shingle_set(t)
                 n.append(len(s))
@@ -96,12 +96,12 @@ def _summaries(docs: DataFrame) -> DataFrame:
                 np.add.at(cells, (s >> np.uint64(63 - SKETCH_BITS)).astype(np.int64), 1)
             np.minimum(cells, 40_000, out=cells)
             k = len(n)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), ids, pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], schema=schema)
         rows = cells.reshape(-1, 1 << ROW_BITS)
         for r in np.flatnonzero(rows.any(1)).tolist():
             yield pa.RecordBatch.from_pylist([{"kind": 1, "row": r, "cells": zlib.compress(rows[r].tobytes(), 1)}], schema=schema)
 
-    return docs.mapInArrow(run, "kind int, doc_id long, n long, sid long, row long, cells binary")
+    return docs.mapInArrow(run, "kind int, doc_id long, key long, n long, sid long, row long, cells binary")
 
 
 def _common_cells(sketch: DataFrame, shingles: int) -> np.ndarray:
@@ -302,19 +302,39 @@ def _blocks(members: DataFrame, g: str) -> DataFrame:
         g, F.greatest(F.ceil(F.col("c") / BLOCK_SETS), F.ceil(F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
 
 
+def row_key(doc_id: str = "doc_id", text: str = "text") -> Column:
+    """Tells rows apart even where doc_ids are null or repeat; repeated rows share it."""
+    return F.xxhash64(F.col(doc_id).cast("long"), F.col(text))
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): component_id is the smallest doc_id reached over links.
 
     Documents link where their sets of lower-cased (A-Z) 5-word shingles have a
     Jaccard similarity of 0.75 or more; fewer words are one shingle. Null texts and
     texts without words have no shingles and are their own component. Repeated rows
-    come back as often as they come; doc_ids aren't null. An empty table gives no rows.
+    come back as often as they come. A null doc_id comes last: the component_id is null
+    only where no document of the component has a doc_id. An empty table gives no rows.
     """
+    whole = _labelled(docs, doc_id, text)
+    least = whole.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
+    return whole.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def first_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key): the row_key of one row of each component, that with the least doc_id (null last), and of each text without words."""
+    whole = _labelled(docs, doc_id, text)
+    least = whole.where("label IS NOT NULL").groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key")).alias("f"))
+    return least.select("f.key").union(whole.where("label IS NULL").select("key")).distinct()
+
+
+def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """(doc_id, key, n, label) of each row: number of shingles, and a name of its component, null without shingles."""
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text).alias("key"))
     both = scratch.cut(_summaries(docs))
-    known = both.where("kind = 0").select("doc_id", "n", "sid")
+    known = both.where("kind = 0").select("doc_id", "key", "n", "sid")
     shingles = known.agg(F.sum("n")).first()[0] or 0
     common = spark.sparkContext.broadcast(_common_cells(both.where("kind = 1"), shingles))
 
@@ -333,7 +353,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             if tokens:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, sids, sizes)], ["token", "sid", "n"])
 
-    meeting = scratch.cut(_meeting(docs.mapInArrow(prefixes, "token long, sid long, n long")))
+    meeting = scratch.cut(_meeting(docs.select("text").mapInArrow(prefixes, "token long, sid long, n long")))
 
     # 1. blocks around the set that a set shares most of its prefix with
     p = F.expr("n - (3 * n + 3) DIV 4 + 1")
@@ -381,21 +401,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     # back to documents
     whole = known.join(parts, F.col("sid") == F.col("node"), "left").withColumn("label", F.coalesce("component", "sid"))
-    whole = scratch.cut(whole.select("doc_id", "n", "label"))
-    least = whole.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return whole.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return scratch.cut(whole.select("doc_id", "key", "n", "label"))
 
 
 def _sets_of(docs: DataFrame, known: DataFrame, wanted: DataFrame, common) -> DataFrame:
-    """(sid, shingles) in the global order of the wanted sids, each from the document with the least doc_id that has it.
+    """(sid, shingles) in the global order of the wanted sids, each from the document with the least key that has it.
 
-    A bitmap of the hashes of those doc_ids (2 MB, whatever their number) keeps other
+    A bitmap of the hashes of those keys (2 MB, whatever their number) keeps other
     documents from being cut into shingles again; the join keeps what the bitmap lets through in vain out.
     """
     spark = docs.sparkSession
     bits = 24
-    first = known.groupBy("sid").agg(F.min("doc_id").alias("doc_id")).join(wanted.distinct(), "sid")
-    cell = F.pmod(F.xxhash64("doc_id"), F.lit(1 << bits))
+    first = known.groupBy("sid").agg(F.min("key").alias("key")).join(wanted.distinct(), "sid")
+    cell = F.pmod(F.xxhash64("key"), F.lit(1 << bits))
     maps = first.select(cell.alias("cell")).groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits")).collect()
     bitmap = np.zeros(((1 << bits) // 32768 + 2, 4096), np.uint8)
     for r in maps:
@@ -409,20 +427,20 @@ def _sets_of(docs: DataFrame, known: DataFrame, wanted: DataFrame, common) -> Da
             # buckets count from 1 at cell 1; positions within a bucket from 0
             bucket, position = np.where(cells > 0, (cells - 1) // 32768 + 1, 0), np.where(cells > 0, (cells - 1) % 32768, 0)
             hit = shared.value[bucket, position >> 3] >> (position & 7).astype(np.uint8) & 1
-            doc = batch.column("doc_id").to_numpy()
+            keys = batch.column("key").to_numpy()
             texts = batch.column("text")
             out = []
             for i in np.flatnonzero(hit).tolist():
                 s = shingle_set(texts[i].as_py())
                 if len(s) and (k := set_id(s)) not in got:
                     got.add(k)
-                    out.append((int(doc[i]), k, ordered(s, common.value).tobytes()))
+                    out.append((int(keys[i]), k, ordered(s, common.value).tobytes()))
             if out:
                 d, k, b = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.int64()), pa.array(b, pa.binary())], ["doc_id", "sid", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.int64()), pa.array(b, pa.binary())], ["key", "sid", "shingles"])
 
-    rows = docs.withColumn("cell", cell).mapInArrow(run, "doc_id long, sid long, shingles binary")
-    return rows.join(first, ["doc_id", "sid"], "left_semi").dropDuplicates(["sid"]).select("sid", "shingles")
+    rows = docs.select("text", "key", cell.alias("cell")).mapInArrow(run, "key long, sid long, shingles binary")
+    return rows.join(first, ["key", "sid"], "left_semi").dropDuplicates(["sid"]).select("sid", "shingles")
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
