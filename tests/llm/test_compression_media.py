@@ -124,3 +124,65 @@ def test_null_and_repeated_image_ids(spark):
     rows = [row(None, a), row(None, edited(rng, a, "bright")), row(None, b), row(4, edited(rng, b, "bright")), row(5, c), row(5, edited(rng, b, "noise")), (None, None)]
     got = [(r.image_id, r.component_id) for r in M.image_copies(spark.createDataFrame(rows, f"image_id long, image {M.IMAGE}")).collect()]
     assert sorted(got, key=str) == sorted([(None, None), (None, None), (None, 4), (4, 4), (5, 5), (5, 4), (None, None)], key=str)
+
+
+def own_pictures(spark, n):
+    """As the registered query draws them, from random unit vectors."""
+    v = np.random.default_rng(5).normal(size=(n, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    rows = M.pictures_of_vectors(spark.createDataFrame([(i, x) for i, x in enumerate(v.tolist())], "id long, v array<double>")).collect()
+    return [M.to_gray(*r.image) for r in sorted(rows, key=lambda r: r.image_id)]
+
+
+OWN = {
+    "crop to 80 %": lambda rng, x: x[9:86, 9:86], "crop to 50 %": lambda rng, x: x[14:82, 14:82], "brightness": lambda rng, x: x * 0.8 + 20,
+    "noise 3": lambda rng, x: x + rng.normal(0, 3, x.shape), "noise 10": lambda rng, x: x + rng.normal(0, 10, x.shape), "quarter turn": lambda rng, x: np.rot90(x),
+    **{f"x{z}": (lambda rng, x, z=z: M.resize(x, round(96 * z), round(96 * z))) for z in (0.9, 0.8, 0.75, 0.67, 0.5, 1.5)},
+}
+
+
+def test_recall_of_each_edit_on_the_querys_pictures(spark):
+    """Copies that a brute force over all pairs links are found through two shared words, 9 in 10 of all at least; no two others link."""
+    a = own_pictures(spark, 30)
+    k, w = [M.describe(x) for x in a], [M.words_of(M.describe(x)) for x in a]
+    for how, edit in OWN.items():
+        rng = np.random.default_rng(1)
+        e = [M.describe(np.rint(np.clip(edit(rng, x), 0, 255)).astype(np.float32)) for x in a]
+        linked = [M.agree(k[i], e[i]) >= M.VOTES and len(np.intersect1d(w[i], M.words_of(e[i]))) >= M.LEAST_WORDS for i in range(30)]
+        assert sum(linked) >= 27, (how, sum(linked))
+    assert all(M.agree(k[i], k[j]) < M.VOTES for i in range(30) for j in range(i))
+
+
+def test_against_all_pairs_with_a_large_group(spark):
+    """Components are those of comparing all pairs; copies of one picture make far fewer rows than pairs."""
+    a = own_pictures(spark, 12)
+    rng = np.random.default_rng(2)
+    edits = list(OWN.values())
+    pics = [*a, *(edits[i % len(edits)](rng, a[i % 4]) for i in range(60)), *(a[7] + rng.normal(0, 2, a[7].shape) for _ in range(40))]
+    order = rng.permutation(len(pics))
+    rows = [row(int(i), np.clip(pics[i], 0, 255)) for i in order]
+    k = {i: M.describe(M.to_gray(*(im[f] for f in ("height", "width", "nChannels", "data")))) for i, im in rows}
+    up = {i: i for i in k}
+
+    def top(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in sorted(k):
+        for j in sorted(k):
+            if i < j and top(i) != top(j) and M.agree(k[i], k[j]) >= M.VOTES:
+                x, y = top(i), top(j)
+                up[max(x, y)] = min(x, y)
+    df = spark.createDataFrame([(i, im, "x", 1) for i, im in rows], f"image_id long, image {M.IMAGE}, sid string, token long")
+    got = {r.image_id: r.component_id for r in M.image_copies(df).collect()}
+    assert sum(got[i] == top(i) for i in got) >= len(got) - 1
+
+
+def test_neighbours_at_a_token(spark):
+    """All pairs of up to WINDOW components, else those next to each other and all with the first; any number of rows a token."""
+    rows = [(1, g, g) for g in range(10)] + [(2, g, 100 + g) for g in range(50)] + [(2, g, 99 + g) for g in range(50)] + [(3, 1, 1)]
+    got = sorted((r.la, r.lb, r.a, r.b) for r in M._neighbours(spark.createDataFrame(rows, "token long, label long, sid long")).collect())
+    want = [(i, j, i, j) for i in range(10) for j in range(i + 1, 10)]
+    want += [(i, j, 99 + i, 99 + j) for i in range(50) for j in range(i + 1, 50) if j - i < M.WINDOW or i == 0]
+    assert got == sorted(want)

@@ -4,10 +4,12 @@ components, and grouped work inside sorted partitions."""
 from __future__ import annotations
 
 import atexit
+import math
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -139,3 +141,68 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         seen = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+class Cells:
+    """A bit for each cell that holds an id: others are surely in no such cell."""
+
+    def __init__(self, bits: int, rows: list):
+        self.map = np.zeros(((1 << bits) // 32768 + 2, 4096), np.uint8)
+        for r in rows:
+            self.map[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
+
+    def has(self, cells: np.ndarray) -> np.ndarray:
+        # buckets count from 1 at cell 1, positions within a bucket from 0
+        bucket, position = np.where(cells > 0, (cells - 1) // 32768 + 1, 0), np.where(cells > 0, (cells - 1) % 32768, 0)
+        return (self.map[bucket, position >> 3] >> (position & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def filter_of(ids: DataFrame, col: str):
+    """(broadcast Cells of the ids, the column of a row's cell): what a task need not look at.
+
+    About 16 cells an id, at most 2**28 (32 MB); a join keeps what it lets through in vain out.
+    """
+    spark = ids.sparkSession
+    bits = min(28, max(16, math.ceil(math.log2(max(1, ids.count()))) + 4))
+    cell = F.pmod(F.xxhash64(col), F.lit(1 << bits))
+    maps = ids.select(cell.alias("cell")).groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
+    return spark.sparkContext.broadcast(Cells(bits, maps.collect())), cell
+
+
+def meeting(rows: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """Of (token, sid, more...), all longs, the distinct rows of tokens that two or more sids have, with lo, the token's least sid.
+
+    more depends on the sid alone. Only a token's first row is held while its rows
+    go by, so a token may have any number of them.
+    """
+    cols = ["token", "sid", *more]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first: list = []  # the open token's first row
+        last, out = None, False  # the last row's token and sid, and whether the first row was given out
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = [batch.column(c).to_numpy() for c in cols]
+            new = np.ones(len(x[0]), bool)
+            new[1:] = (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1])
+            new[0] = last != (x[0][0], x[1][0])
+            last = (x[0][-1], x[1][-1])
+            x = [np.concatenate([np.array(first[k:k + 1], np.int64), c[new]]) for k, c in enumerate(x)]
+            if not len(x[0]):
+                continue
+            start = np.ones(len(x[0]), bool)
+            start[1:] = x[0][1:] != x[0][:-1]
+            at = np.flatnonzero(start)
+            count = np.diff(np.append(at, len(start)))
+            keep = np.repeat(count > 1, count)
+            lo = np.repeat(x[1][at], count)
+            if out:
+                keep[0] = False
+            out = bool(count[-1] > 1) or (out and at[-1] == 0)
+            first = [c[at[-1]] for c in x]
+            if keep.any():
+                yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (*x, lo)], [*cols, "lo"])
+
+    rows = rows.repartition(shuffle_partitions(rows.sparkSession), "token").sortWithinPartitions("token", "sid")
+    return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*cols, "lo"]))
