@@ -160,10 +160,10 @@ class Cells:
 def filter_of(ids: DataFrame, col: str):
     """(broadcast Cells of the ids, the column of a row's cell): what a task need not look at.
 
-    About 16 cells an id, at most 2**28 (32 MB); a join keeps what it lets through in vain out.
+    About 64 cells an id, at most 2**28 (32 MB); a join keeps what it lets through in vain out.
     """
     spark = ids.sparkSession
-    bits = min(28, max(16, math.ceil(math.log2(max(1, ids.count()))) + 4))
+    bits = min(28, max(16, math.ceil(math.log2(max(1, ids.count()))) + 6))
     cell = F.pmod(F.xxhash64(col), F.lit(1 << bits))
     maps = ids.select(cell.alias("cell")).groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
     return spark.sparkContext.broadcast(Cells(bits, maps.collect())), cell
