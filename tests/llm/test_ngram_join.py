@@ -79,3 +79,34 @@ def test_null_and_repeated_ids(spark):
     rows = [(None, a), (None, near(rng, a, 1)), (None, b), (3, near(rng, b, 1)), (5, c), (5, d), (6, near(rng, d, 1)), (None, None), (None, "")]
     got = sorted(((r.doc_id, r.component_id) for r in N.near_duplicates(docs(spark, rows)).collect()), key=str)
     assert got == sorted([(None, None), (None, None), (None, 3), (3, 3), (5, 5), (5, 5), (6, 5), (None, None), (None, None)], key=str)
+
+
+def test_common_template_costs_no_pairs(spark, monkeypatch):
+    """Documents of Jaccard 0.65 to each other: none links, and none meets another where components meet."""
+    rng = random.Random(8)
+    template = prose(rng, 120)
+    texts = [template + " " + prose(rng, 32) for _ in range(800)]
+    seen = {}
+    keep = N.Scratch.cut
+
+    def cut(self, df):
+        out = keep(self, df)
+        if df.columns == ["token", "sid", "n", "label"] or set(df.columns) == {"sid", "token", "n", "label"}:
+            seen["open"] = out.count()
+        return out
+
+    monkeypatch.setattr(N.Scratch, "cut", cut)
+    got = result(spark, docs(spark, texts))
+    assert all(got[i][1] == i for i in got) and seen["open"] <= len(texts)
+
+
+def test_equal_halves_of_digests_are_told_apart(spark, monkeypatch):
+    rng = random.Random(9)
+    texts = [prose(rng, 40) for _ in range(6)]
+    texts += [texts[0] + " more", texts[3] + " more"]
+    whole = N.set_ids
+    assert N.set_id(N.shingle_set(texts[0]), {}) == whole(N.shingle_set(texts[0]))[0]
+    s = [N.shingle_set(t) for t in texts[:2]]
+    clash = {whole(s[0])[0]: whole(s[1])[1]}
+    assert N.set_id(s[0], clash) == whole(s[0])[1]
+    assert result(spark, docs(spark, texts)) == components(list(enumerate(texts)))

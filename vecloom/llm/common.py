@@ -169,13 +169,13 @@ def filter_of(ids: DataFrame, col: str):
     return spark.sparkContext.broadcast(Cells(bits, maps.collect())), cell
 
 
-def meeting(rows: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
-    """Of (token, sid, more...), all longs, the distinct rows of tokens that two or more sids have, with lo, the token's least sid.
+def meeting(rows: DataFrame, *before: str) -> DataFrame:
+    """Of (token, before..., sid), all longs, the distinct rows of tokens that two or more rows have, with lo, the sid of the token's first row in this order.
 
-    more depends on the sid alone. Only a token's first row is held while its rows
-    go by, so a token may have any number of them.
+    Only a token's first row is held while its rows go by, so a token may have any
+    number of them. A sid has one row a token but for repeated rows.
     """
-    cols = ["token", "sid", *more]
+    cols = ["token", *before, "sid"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first: list = []  # the open token's first row
@@ -185,9 +185,9 @@ def meeting(rows: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
                 continue
             x = [batch.column(c).to_numpy() for c in cols]
             new = np.ones(len(x[0]), bool)
-            new[1:] = (x[0][1:] != x[0][:-1]) | (x[1][1:] != x[1][:-1])
-            new[0] = last != (x[0][0], x[1][0])
-            last = (x[0][-1], x[1][-1])
+            new[1:] = (x[0][1:] != x[0][:-1]) | (x[-1][1:] != x[-1][:-1])
+            new[0] = last != (x[0][0], x[-1][0])
+            last = (x[0][-1], x[-1][-1])
             x = [np.concatenate([np.array(first[k:k + 1], np.int64), c[new]]) for k, c in enumerate(x)]
             if not len(x[0]):
                 continue
@@ -196,7 +196,7 @@ def meeting(rows: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
             at = np.flatnonzero(start)
             count = np.diff(np.append(at, len(start)))
             keep = np.repeat(count > 1, count)
-            lo = np.repeat(x[1][at], count)
+            lo = np.repeat(x[-1][at], count)
             if out:
                 keep[0] = False
             out = bool(count[-1] > 1) or (out and at[-1] == 0)
@@ -204,5 +204,12 @@ def meeting(rows: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
             if keep.any():
                 yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (*x, lo)], [*cols, "lo"])
 
-    rows = rows.repartition(shuffle_partitions(rows.sparkSession), "token").sortWithinPartitions("token", "sid")
+    rows = rows.select(*cols).repartition(shuffle_partitions(rows.sparkSession), "token").sortWithinPartitions(*cols)
     return rows.mapInArrow(run, ", ".join(f"{c} long" for c in [*cols, "lo"]))
+
+
+def spread_join(rows: DataFrame, few: DataFrame, key: str, by: str, how: str = "inner", salts: int = 16) -> DataFrame:
+    """rows joined with few, which has a row a key: a key's rows are dealt to some tasks by the column `by`."""
+    salt = "_salt"
+    dealt = rows.withColumn(salt, F.pmod(F.xxhash64(by), F.lit(salts)))
+    return dealt.join(few.withColumn(salt, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))), [key, salt], how).drop(salt)

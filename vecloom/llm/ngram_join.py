@@ -11,8 +11,11 @@ remain can't reach the threshold. Links are exact; they connect components.
 
 1. Each set goes to the block of the set it shares most prefix shingles with. A
    group of copies, however large, is spread over blocks that all hold its hub.
-2. What is left are prefix shingles at which different components meet. For every
-   two such components the sets of the one that share enough shingles with the
+2. What is left are prefix shingles at which different components meet. A set at
+   place i of which a shingle stands can share n - i with what meets it there first,
+   which bounds the other's size: places whose bounds no other set meets are left out,
+   so sets that have a common text besides much of their own cost little. For every
+   two components left the sets of the one that share enough shingles with the
    other run down tries of the other's sets. No pair of documents is made for this,
    and within a component nothing is compared again.
 """
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, grouped, shuffle_partitions, table
+from .common import Scratch, connected_components, filter_of, grouped, meeting, spread_join, table
 from .tokens import slices
 
 #: Cells of the sketch of document frequencies (2**22), in rows of 2**15: 8 MB a task while it counts, 512 kB of bits in the end.
@@ -37,6 +40,8 @@ ROW_BITS = 15
 #: Sets in a block, and shingles in it: a block is what one task holds.
 BLOCK_SETS = 256
 BLOCK_SHINGLES = 1_000_000
+#: One in so many of a set's shingles may be shared before the place from which its bound is reckoned.
+SLACK = 24
 
 
 # ---- sets ----
@@ -76,32 +81,41 @@ def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
     return np.unique(_mix(h) >> np.uint64(1))
 
 
-def set_id(s: np.ndarray) -> int:
-    """Documents with equal sets share it."""
-    return int.from_bytes(hashlib.blake2b(s.tobytes(), digest_size=8).digest(), "little", signed=True)
+def set_ids(s: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit halves of one digest: documents with equal sets share both."""
+    d = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def set_id(s: np.ndarray, second: dict[int, int]) -> int:
+    """The first half, but the second for those sets that chance gave the first half of another; second has that other's second half."""
+    sid, alt = set_ids(s)
+    return alt if second.get(sid, alt) != alt else sid
 
 
 def _summaries(docs: DataFrame) -> DataFrame:
-    """kind 0: doc_id, key, n_shingles, sid of each document. kind 1: rows of a task's sketch, compressed."""
+    """kind 0: doc_id, key, n_shingles, sid and alt (halves of the set's digest) of each document. kind 1: rows of a task's sketch, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("row", pa.int64()), ("cells", pa.binary())])
+        schema = pa.schema([("kind", pa.int32()), ("doc_id", pa.int64()), ("key", pa.int64()), ("n", pa.int64()), ("sid", pa.int64()), ("alt", pa.int64()), ("row", pa.int64()), ("cells", pa.binary())])
         cells = np.zeros(1 << SKETCH_BITS, np.uint16)
         for batch in (p for b in batches for p in slices(b, "text")):
-            n, sid = [], []
+            n, sid, alt = [], [], []
             for t in batch.column("text").to_pylist():
                 s = shingle_set(t)
                 n.append(len(s))
-                sid.append(set_id(s) if len(s) else None)
+                first, second = set_ids(s) if len(s) else (None, None)
+                sid.append(first)
+                alt.append(second)
                 np.add.at(cells, (s >> np.uint64(63 - SKETCH_BITS)).astype(np.int64), 1)
             np.minimum(cells, 40_000, out=cells)
             k = len(n)
-            yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(alt, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], schema=schema)
         rows = cells.reshape(-1, 1 << ROW_BITS)
         for r in np.flatnonzero(rows.any(1)).tolist():
             yield pa.RecordBatch.from_pylist([{"kind": 1, "row": r, "cells": zlib.compress(rows[r].tobytes(), 1)}], schema=schema)
 
-    return docs.mapInArrow(run, "kind int, doc_id long, key long, n long, sid long, row long, cells binary")
+    return docs.mapInArrow(run, "kind int, doc_id long, key long, n long, sid long, alt long, row long, cells binary")
 
 
 def _common_cells(sketch: DataFrame, shingles: int) -> np.ndarray:
@@ -265,37 +279,6 @@ def _links(tasks: DataFrame, sets: DataFrame) -> DataFrame:
 # ---- the join ----
 
 
-def _meeting(prefixes: DataFrame) -> DataFrame:
-    """Of (token, sid, n), the rows of tokens that two or more sets have, with the least sid that has the token."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the first row of the last token, and whether it was given out
-        for batch in batches:
-            token, sid, n = (batch.column(c).to_numpy() for c in ("token", "sid", "n"))
-            out = False
-            if held is not None:
-                token, sid, n = (np.concatenate([[h], c]) for h, c in zip(held[:3], (token, sid, n)))
-                out = held[3]
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (sid[1:] != sid[:-1])
-            token, sid, n = token[new], sid[new], n[new]
-            first = np.ones(len(token), bool)
-            first[1:] = token[1:] != token[:-1]
-            starts = np.flatnonzero(first)
-            count = np.diff(np.append(starts, len(token)))
-            lo = np.repeat(sid[starts], count)
-            keep = np.repeat(count > 1, count)
-            last = starts[-1]
-            held = (token[last], sid[last], n[last], bool(count[-1] > 1) or (out and last == 0))
-            if out:
-                keep[0] = False
-            if keep.any():
-                yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (token, sid, n, lo)], ["token", "sid", "n", "lo"])
-
-    rows = prefixes.repartition(shuffle_partitions(prefixes.sparkSession), "token").sortWithinPartitions("token", "sid")
-    return rows.mapInArrow(run, "token long, sid long, n long, lo long")
-
-
 def _blocks(members: DataFrame, g: str) -> DataFrame:
     """(g, blocks): the number of blocks for each group's sets."""
     return members.groupBy(g).agg(F.count("*").alias("c"), F.sum("n").alias("s")).select(
@@ -334,7 +317,12 @@ def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     scratch = Scratch(spark)
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), row_key(doc_id, text).alias("key"))
     both = scratch.cut(_summaries(docs))
-    known = both.where("kind = 0").select("doc_id", "key", "n", "sid")
+    known = both.where("kind = 0").select("doc_id", "key", "n", "sid", "alt")
+    # of sets whose first halves are equal by chance all but one go by their second: at 10**9 sets there is hardly one
+    clash = known.where("sid IS NOT NULL").groupBy("sid").agg(F.min("alt").alias("x"), F.max("alt").alias("y")).where("x != y").collect()
+    for r in clash:
+        known = known.withColumn("sid", F.when((F.col("sid") == r["sid"]) & (F.col("alt") != r["x"]), F.col("alt")).otherwise(F.col("sid")))
+    second = {r["sid"]: r["x"] for r in clash}
     shingles = known.agg(F.sum("n")).first()[0] or 0
     common = spark.sparkContext.broadcast(_common_cells(both.where("kind = 1"), shingles))
 
@@ -344,41 +332,44 @@ def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
             tokens, sids, sizes = [], [], []
             for t in batch.column("text").to_pylist():
                 s = shingle_set(t)
-                if len(s) and (i := set_id(s)) not in seen:
+                if len(s) and (i := set_id(s, second)) not in seen:
                     seen.add(i)
-                    p = ordered(s, common.value)[:prefix_length(len(s))].view(np.int64)
+                    n = len(s)
+                    p = ordered(s, common.value)[:prefix_length(n)].view(np.int64)
                     tokens.append(p)
                     sids.append(np.full(len(p), i))
-                    sizes.append(np.full(len(p), len(s)))
+                    # a set that this one links with and shares at most n // SLACK shingles before place i with has no more shingles than this
+                    sizes.append((n << 32) + 7 * (n - np.arange(len(p)) + n // SLACK) // 3 - n)
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, sids, sizes)], ["token", "sid", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (tokens, sizes, sids)], ["token", "size", "sid"])
 
-    meeting = scratch.cut(_meeting(docs.select("text").mapInArrow(prefixes, "token long, sid long, n long")))
+    met = meeting(docs.select("text").mapInArrow(prefixes, "token long, size long, sid long"), "size")
+    met = scratch.cut(met.select("token", "sid", F.shiftright("size", 32).alias("n"), F.col("size").bitwiseAND((1 << 32) - 1).alias("hi"), "lo"))
 
-    # 1. blocks around the set that a set shares most of its prefix with
+    # 1. blocks around the set that a set shares most of its prefix with: the smallest one at a shingle
     p = F.expr("n - (3 * n + 3) DIV 4 + 1")
-    hubs = meeting.where("sid != lo").groupBy("sid", "n", "lo").agg(F.count("*").alias("c")).where(3 * F.col("c") >= p)
+    hubs = met.where("sid != lo").groupBy("sid", "n", "lo").agg(F.count("*").alias("c")).where(3 * F.col("c") >= p)
     hubs = hubs.groupBy("sid", "n").agg(F.max_by("lo", F.struct("c", "lo")).alias("g"))
     hubs = scratch.cut(hubs)
-    size_of = meeting.select("sid", "n").distinct()
+    size_of = met.select("sid", "n").distinct()
     centres = hubs.select(F.col("g").alias("sid")).distinct().join(size_of, "sid").select("sid", "n", F.col("sid").alias("g"))
     blocks = _blocks(hubs, "g")
-    tasks = hubs.join(blocks, "g").select("g", F.pmod(F.xxhash64("sid"), "blocks").cast("int").alias("part"), "sid").union(
+    tasks = spread_join(hubs, blocks, "g", "sid").select("g", F.pmod(F.xxhash64("sid"), "blocks").cast("int").alias("part"), "sid").union(
         centres.join(blocks, "g").select("g", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), "sid"))
-    sets = scratch.cut(_sets_of(docs, known, tasks.select("sid"), common))
+    sets = scratch.cut(_sets_of(docs, known, tasks.select("sid"), common, second))
     links = scratch.cut(_links(tasks.withColumn("probe", F.lit(False)), sets))
     scratch.drop(sets)
     parts = scratch.cut(connected_components(links, scratch))
 
     # 2. components that still meet at prefix shingles
-    label = meeting.select("token", "sid", "n").join(parts, F.col("sid") == F.col("node"), "left").select("token", "sid", "n", F.coalesce("component", "sid").alias("label"))
-    several = label.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("token")
-    open_ = scratch.cut(label.join(several, "token"))
-    scratch.drop(meeting)
+    label = met.drop("lo").join(parts, F.col("sid") == F.col("node"), "left").select("token", "sid", "n", "hi", F.coalesce("component", "sid").alias("label"))
+    several = label.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("n").alias("least_n"), F.max("hi").alias("most_hi")).where("x != y").drop("x", "y")
+    open_ = scratch.cut(label.join(several, "token").where("least_n <= hi AND n <= most_hi").select("token", "sid", "n", "label"))
+    scratch.drop(met)
     members = open_.select("sid", "n", "label").distinct()
     about = scratch.cut(members.groupBy("label").agg(F.count("*").alias("members"), F.min("n").alias("least"), F.max("n").alias("largest")))
     at = open_.select("token", "label").distinct().join(about, "label").select("token", F.col("label").alias("g"), F.col("members").alias("g_members"), "least", "largest")
-    mine = open_.join(about.select("label", "members"), "label")
+    mine = spread_join(open_, about.select("label", "members"), "label", "sid")
     # of two components, the larger is stored and the sets of the other are probes
     meet = mine.join(at, "token").where(F.struct("g_members", "g") > F.struct("members", "label")).groupBy("g", "sid", "n", "least", "largest").agg(F.count("*").alias("c"))
     # sizes within the threshold, and the prefix shingles that two linked sets share at least
@@ -386,15 +377,17 @@ def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     need = lambda m: F.ceil((F.col("n") + m) * 3 / 7) - F.greatest(F.expr("(3 * n + 3) DIV 4"), F.floor((3 * m + 3) / 4)) + 1
     # need rises with m up to n and falls beyond it, but for rounding: its least is at lo or in the last four sizes
     least_need = F.least(need(lo), *(need(F.greatest(lo, hi - k)) for k in range(4)))
+    # of these the first n // SLACK + 1 are met for sure, and n / SLACK for a set of three quarters of the size
+    least_need = F.least(least_need, F.floor(F.col("n") * 3 / 4 / SLACK) + 1)
     meet = scratch.cut(meet.where(lo <= hi).where(F.col("c") >= least_need).select("g", "sid", "n"))
-    stored = members.join(meet.select(F.col("g").alias("label")).distinct(), "label").select(F.col("label").alias("g"), "sid", "n")
+    stored = scratch.cut(spread_join(members, meet.select(F.col("g").alias("label")).distinct(), "label", "sid").select(F.col("label").alias("g"), "sid", "n"))
     rows, columns = _blocks(stored, "g"), _blocks(meet, "g").withColumnRenamed("blocks", "columns")
     grid = scratch.cut(rows.join(columns, "g"))
     spread = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
-    tasks = stored.join(grid, "g").withColumn("row", F.pmod(F.xxhash64("sid"), "blocks")).withColumn("column", spread("columns")).withColumn("probe", F.lit(False)).union(
-        meet.join(grid, "g").withColumn("column", F.pmod(F.xxhash64("sid"), "columns")).withColumn("row", spread("blocks")).select("g", "sid", "n", "blocks", "columns", "row", "column").withColumn("probe", F.lit(True)))
+    tasks = spread_join(stored, grid, "g", "sid").withColumn("row", F.pmod(F.xxhash64("sid"), "blocks")).withColumn("column", spread("columns")).withColumn("probe", F.lit(False)).select("g", "columns", "row", "column", "sid", "probe").union(
+        spread_join(meet, grid, "g", "sid").withColumn("column", F.pmod(F.xxhash64("sid"), "columns")).withColumn("row", spread("blocks")).withColumn("probe", F.lit(True)).select("g", "columns", "row", "column", "sid", "probe"))
     tasks = tasks.select("g", (F.col("row") * F.col("columns") + F.col("column")).cast("int").alias("part"), "sid", "probe")
-    sets = scratch.cut(_sets_of(docs, known, meet.select("sid").union(stored.select("sid")), common))
+    sets = scratch.cut(_sets_of(docs, known, meet.select("sid").union(stored.select("sid")), common, second))
     more = scratch.cut(_links(tasks, sets))
     scratch.drop(sets, open_)
     parts = connected_components(links.union(more), scratch)
@@ -404,44 +397,48 @@ def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return scratch.cut(whole.select("doc_id", "key", "n", "label"))
 
 
-def _sets_of(docs: DataFrame, known: DataFrame, wanted: DataFrame, common) -> DataFrame:
+def _sets_of(docs: DataFrame, known: DataFrame, wanted: DataFrame, common, second: dict[int, int]) -> DataFrame:
     """(sid, shingles) in the global order of the wanted sids, each from the document with the least key that has it.
 
-    A bitmap of the hashes of those keys (2 MB, whatever their number) keeps other
-    documents from being cut into shingles again; the join keeps what the bitmap lets through in vain out.
+    A filter of those keys keeps other documents from being cut into shingles again;
+    the join keeps what it lets through in vain out.
     """
-    spark = docs.sparkSession
-    bits = 24
     first = known.groupBy("sid").agg(F.min("key").alias("key")).join(wanted.distinct(), "sid")
-    cell = F.pmod(F.xxhash64("key"), F.lit(1 << bits))
-    maps = first.select(cell.alias("cell")).groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits")).collect()
-    bitmap = np.zeros(((1 << bits) // 32768 + 2, 4096), np.uint8)
-    for r in maps:
-        bitmap[r["bucket"]] = np.frombuffer(r["bits"], np.uint8)
-    shared = spark.sparkContext.broadcast(bitmap)
+    cells, cell = filter_of(first, "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got: set[int] = set()
         for batch in batches:
-            cells = batch.column("cell").to_numpy()
-            # buckets count from 1 at cell 1; positions within a bucket from 0
-            bucket, position = np.where(cells > 0, (cells - 1) // 32768 + 1, 0), np.where(cells > 0, (cells - 1) % 32768, 0)
-            hit = shared.value[bucket, position >> 3] >> (position & 7).astype(np.uint8) & 1
+            hit = cells.value.has(batch.column("cell").to_numpy())
             keys = batch.column("key").to_numpy()
             texts = batch.column("text")
-            out = []
+            out, held = [], 0
             for i in np.flatnonzero(hit).tolist():
                 s = shingle_set(texts[i].as_py())
-                if len(s) and (k := set_id(s)) not in got:
+                if len(s) and (k := set_id(s, second)) not in got:
                     got.add(k)
                     out.append((int(keys[i]), k, ordered(s, common.value).tobytes()))
+                    held += s.nbytes
+                if held > 8 << 20:
+                    yield rows_of(out)
+                    out, held = [], 0
             if out:
-                d, k, b = zip(*out)
-                yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.int64()), pa.array(b, pa.binary())], ["key", "sid", "shingles"])
+                yield rows_of(out)
+
+    def rows_of(out: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], ["key", "sid", "shingles"])
 
     rows = docs.select("text", "key", cell.alias("cell")).mapInArrow(run, "key long, sid long, shingles binary")
     return rows.join(first, ["key", "sid"], "left_semi").dropDuplicates(["sid"]).select("sid", "shingles")
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every document.
+
+    A null or empty text has no shingles and is its own component. Repeated rows come
+    back as often as they come; a null doc_id comes back null, with the component_id
+    of its component, null where no document of it has a doc_id. Of ties the smallest
+    doc_id names the component. Texts are read whole, other columns ignored. No rows
+    give no rows.
+    """
     return near_duplicates(table(spark, sf_dir, "documents"))
