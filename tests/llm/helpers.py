@@ -53,11 +53,14 @@ def components(rows):
     for d, s in sets.items():
         for x in s:
             have[x].append(d)
+    # shared shingles of every pair that shares any
+    shared = defaultdict(int)
     for group in have.values():
-        for a in group:
-            for b in group:
-                k = len(sets[a] & sets[b])
-                if a < b and 100 * k >= 75 * (len(sets[a]) + len(sets[b]) - k):
-                    x, y = top(a), top(b)
-                    up[max(x, y)] = min(x, y)
+        for i, a in enumerate(group):
+            for b in group[i + 1:]:
+                shared[a, b] += 1
+    for (a, b), k in shared.items():
+        if 100 * k >= 75 * (len(sets[a]) + len(sets[b]) - k):
+            x, y = top(a), top(b)
+            up[max(x, y)] = min(x, y)
     return {d: (len(s), top(d)) for d, s in sets.items()}

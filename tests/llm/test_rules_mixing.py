@@ -132,3 +132,26 @@ def test_mix_bound_by_three(spark):
     texts, sources = ["w " * 10] * 30 + ["w " * 10], ["a"] * 30 + ["b"]
     by = {r.source: r for r in run(spark, texts, sources)}
     assert by["b"].target == 30 and by["a"].target == 280 and by["b"].taken == 30
+
+
+def test_mix_is_the_queue(spark):
+    """What is taken is what a plain queue takes: copies in order of virtual time until the budget is used up."""
+    rng = random.Random(4)
+    sources = [rng.choice("aaaaab") for _ in range(60)] + [None] * 7
+    texts = [prose(rng, rng.randint(1, 40)) for _ in sources]
+    d = docs(spark, texts, sources).withColumn("size", M.word_count())
+    rows = {r.doc_id: r for r in M.weighted_mix(d, M.cycled_weights(d, (1, 2, 3))).collect()}
+    turn = {r.doc_id: r.turn for r in d.selectExpr("doc_id", "xxhash64(doc_id, 0, size) AS turn").collect()}
+    copies = []
+    for s in {r.source for r in rows.values()}:
+        sent = 0
+        for r in sorted((r for r in rows.values() if r.source == s), key=lambda r: turn[r.doc_id]):
+            copies += [((sent + r.size / 2 + e * r.source_size) / r.target, r.doc_id) for e in range(3)]
+            sent += r.size
+    left, want = sum(r.size for r in rows.values()), defaultdict(int)
+    for _, i in sorted(copies):
+        if rows[i].size / 2 > left:
+            break
+        want[i] += rows[i].size
+        left -= rows[i].size
+    assert {i: r.taken for i, r in rows.items()} == {i: want[i] for i in rows}

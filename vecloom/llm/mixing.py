@@ -2,21 +2,23 @@
 
 Each source sends its shuffled documents, again and again where its target is
 above its size. A copy's virtual time is the words its source has sent when half
-of the copy is sent, divided by the source's target. All copies are range-sorted
-by virtual time and the queue is cut where the total budget is reached.
+of the copy is sent, divided by the source's target. All copies stand in the order
+of virtual time and the queue is cut where the total budget is reached. The place
+of the cut is found by ranges: sums of 1,024 ranges a unit of time, then of 4,096
+parts of the one that it falls into; only that part's copies are sorted.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import Scratch, table
 
 #: Equal ranges of the shuffle order in which running sums are taken; a range is read by one task.
 RANGES = 4096
-#: Ranges of virtual time up to 1, the time at which every source has sent its target.
-TIME_RANGES = 1024
+#: Ranges of a unit of virtual time (at 1 every source has sent its target), units of time before the last range, which holds all that is later, and parts of a range.
+TIME_RANGES, TIME_UNITS, PARTS = 1024, 8, 4096
 
 
 def targets(sizes: DataFrame, most: float) -> DataFrame:
@@ -40,42 +42,61 @@ def targets(sizes: DataFrame, most: float) -> DataFrame:
     return w.select("source", "source_size", F.least("bound", F.coalesce("unit", F.lit(float("inf"))) * F.col("weight")).cast("double").alias("target"))
 
 
+def _key(c: Column) -> Column:
+    """A source as a text that isn't null."""
+    return F.when(c.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), c.cast("string")))
+
+
+def _cut(copies: DataFrame, place: Column, left: DataFrame) -> DataFrame:
+    """Of copies (size, time) with a place in the queue, those of the place at which the words of `left` (one row) are used up, with what of them is left for it; none if they aren't."""
+    at = copies.withColumn("place", place)
+    sums = at.groupBy("place").agg(F.sum("size").alias("words"))
+    through = F.sum("words").over(Window.orderBy("place").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    sums = sums.withColumn("through", through).crossJoin(F.broadcast(left)).where("through >= left")
+    last = sums.agg(F.min_by(F.struct("place", (F.col("left") - F.col("through") + F.col("words")).alias("left")), "place").alias("cut")).where("cut IS NOT NULL").select("cut.*")
+    return at.join(F.broadcast(last), "place").drop("place")
+
+
 def weighted_mix(docs: DataFrame, weights: DataFrame, most: int = 3, seed: int = 0) -> DataFrame:
     """Add source_size, target and taken to docs (doc_id, source, size); the budget is the sum of all sizes.
 
-    weights has one row a source: source, weight. taken is size times the copies
-    that the mix takes, at most `most`. A null source is a source. Documents of size
-    0 are taken with 0 words. Repeated rows count as often as they come. The order
-    depends on doc_id, source and size alone, so reruns agree. An empty table stays empty.
+    weights has one row a source: source, weight; a source without one weighs 1. taken
+    is size times the copies that the mix takes, at most `most`. A null source is a
+    source. Documents of size 0 are taken with 0 words. Repeated rows count as often
+    as they come. The order depends on doc_id, source and size alone, so reruns agree.
+    Columns of docs named as those added are replaced; others stay, whatever their
+    names. docs is read several times. An empty table stays empty.
     """
-    sums = docs.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goal = targets(sums.join(weights, sums.source.eqNullSafe(weights.source), "left").select(sums.source, "source_size", F.coalesce("weight", F.lit(1)).alias("weight")), float(most))
-    goal = goal.withColumnRenamed("source", "goal_source")
-    d = docs.join(F.broadcast(goal), docs.source.eqNullSafe(goal.goal_source)).drop("goal_source")
-    d = d.withColumn("turn", F.xxhash64("doc_id", F.lit(seed), "size"))
+    added = ("source_size", "target", "taken")
+    row = F.struct(*(docs[c] for c in docs.columns if c not in added))
+    d = docs.select(row.alias("row"), F.col("doc_id").alias("id"), _key(F.col("source")).alias("source"), F.col("size").cast("long").alias("size"))
+    sums = d.groupBy("source").agg(F.sum("size").alias("source_size"))
+    known = weights.select(_key(F.col("source")).alias("source"), "weight")
+    goal = targets(sums.join(known, "source", "left").select("source", "source_size", F.coalesce("weight", F.lit(1)).alias("weight")), float(most))
+    d = d.withColumn("turn", F.xxhash64("id", F.lit(seed), "size"))
     d = d.withColumn("range", F.floor((F.col("turn").cast("double") + 2.0**63) / 2.0**64 * RANGES).cast("int"))
     # words of a source before each range: sums of ranges, then one short window a source
     part = d.groupBy("source", "range").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    base = part.select(F.col("source").alias("base_source"), F.col("range").alias("base_range"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source", "range").orderBy("turn", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    d = d.withColumn("sent", F.sum("size").over(inside))
-    d = d.join(base, d.source.eqNullSafe(base.base_source) & (d.range == base.base_range)).drop("base_source", "base_range")
-    middle = (F.col("base") + F.col("sent") - F.col("size") / 2)
+    base = part.select("source", "range", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("base")).join(goal, "source")
+    inside = Window.partitionBy("source", "range").orderBy("turn", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    d = d.withColumn("sent", F.sum("size").over(inside)).join(base, ["source", "range"])
+    middle = F.col("base") + F.col("sent") - F.col("size") / 2
     d = d.withColumn("times", F.when(F.col("size") > 0, F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda e: (middle + e * F.col("source_size")) / F.col("target"))))
 
-    # the time at which the budget is reached: sums of ranges of virtual time, then a sort in the one range
-    copies = d.select("doc_id", "size", F.explode("times").alias("time")).where("time < 4").withColumn("slot", F.floor(F.col("time") * TIME_RANGES))
-    slots = copies.groupBy("slot").agg(F.sum("size").alias("words"))
-    upto = Window.orderBy("slot").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    slots = slots.withColumn("through", F.sum("words").over(upto)).crossJoin(F.broadcast(sums.agg(F.sum("source_size").alias("budget"))))
-    last = slots.where(F.col("through") >= F.col("budget")).agg(F.min_by(F.struct("slot", (F.col("budget") - F.col("through") + F.col("words")).alias("left")), "slot").alias("cut")).select("cut.*")
-    tail = copies.join(F.broadcast(last), "slot").withColumn("queue", F.sum("size").over(Window.partitionBy("slot").orderBy("time", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    copies = d.select("id", "size", F.explode("times").alias("time"))
+    slot = F.least(F.floor(F.col("time") * TIME_RANGES), F.lit(TIME_RANGES * TIME_UNITS))
+    tail = _cut(copies, slot, sums.agg(F.sum("source_size").alias("left")))
+    tail = _cut(tail.drop("left"), F.floor((F.col("time") * TIME_RANGES - slot) * PARTS), tail.agg(F.max("left").alias("left")))
+    queue = F.sum("size").over(Window.partitionBy().orderBy("time", "id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    tail = tail.withColumn("queue", queue)
     end = tail.agg(F.max(F.when(F.col("queue") - F.col("size") / 2 <= F.col("left"), F.col("time"))).alias("inside"), F.min("time").alias("first"))
-    end = end.select(F.coalesce("inside", F.col("first") - 1e-9, F.lit(4.0)).alias("until"))
+    # without a cut all copies are taken
+    end = end.select(F.coalesce("inside", F.col("first") - 1e-9, F.lit(float("inf"))).alias("until"))
     d = d.crossJoin(F.broadcast(end))
     n = F.size(F.filter("times", lambda t: t <= F.col("until")))
-    return d.withColumn("taken", F.coalesce(F.col("size") * F.when(F.col("size") > 0, n), F.lit(0)).cast("long")).drop("turn", "range", "sent", "base", "times", "until")
+    taken = F.coalesce(F.col("size") * F.when(F.col("size") > 0, n), F.lit(0)).cast("long")
+    return d.select("row", "source_size", "target", taken.alias("taken")).select("row.*", "source_size", "target", "taken")
 
 
 def cycled_weights(docs: DataFrame, cycle: tuple[int, ...]) -> DataFrame:
@@ -91,5 +112,13 @@ def word_count(text: str = "text"):
 
 
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("size"))
+    """(doc_id, size, source_size, target, taken, source) of every document.
+
+    A null or empty text has size 0 and is taken with 0 words; a null source is a
+    source of its own, the last. Repeated rows and null doc_ids count as they come;
+    equal places in a source's order go by doc_id and size. Other columns are ignored.
+    No rows give no rows.
+    """
+    # words are counted once; what follows reads this small table
+    docs = Scratch(spark).cut(table(spark, sf_dir, "documents").select("doc_id", "source", word_count().alias("size")))
     return weighted_mix(docs, cycled_weights(docs, (1, 2, 3))).select("doc_id", "size", "source_size", "target", "taken", "source")
