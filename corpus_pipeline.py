@@ -23,8 +23,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def ngram_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates the document with the least doc_id (null last) stays, once if its row is repeated."""
-    rows = docs.select(*COLUMNS, row_key().alias("key"))
-    return rows.join(first_rows(docs), "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
+    rows = docs.select(*COLUMNS, row_key().alias("key"), F.xxhash64(F.lit(1), "doc_id", "text").alias("more"))
+    return rows.join(first_rows(docs), "key", "left_semi").dropDuplicates(["key", "more"]).select(*COLUMNS)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,11 +35,12 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it; equal rows count once and share what is taken."""
-    key = F.xxhash64("doc_id", "text", "lang", "source")
-    small = docs.select(key.alias("key"), "doc_id", "source", word_count().alias("size"))
+    parts = ("doc_id", "text", "lang", "source")
+    keys = [F.xxhash64(*parts).alias("key"), F.xxhash64(F.lit(1), *parts).alias("more")]
+    small = Scratch(spark).cut(docs.select(*keys, "doc_id", "source", word_count().alias("size")))
     mixed = weighted_mix(small, cycled_weights(small, (1, 2, 3))).where("taken > 0")
-    copies = mixed.groupBy("key").agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("copies"))
-    rows = docs.select(*COLUMNS, key.alias("key")).dropDuplicates(["key"]).join(copies, "key")
+    copies = mixed.groupBy("key", "more").agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("copies"))
+    rows = docs.select(*COLUMNS, *keys).dropDuplicates(["key", "more"]).join(copies, ["key", "more"])
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies"))).select(*COLUMNS)
 
 
