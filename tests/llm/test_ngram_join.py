@@ -91,7 +91,7 @@ def test_common_template_costs_no_pairs(spark, monkeypatch):
 
     def cut(self, df):
         out = keep(self, df)
-        if df.columns == ["token", "sid", "n", "label"] or set(df.columns) == {"sid", "token", "n", "label"}:
+        if set(df.columns) == {"sid", "token", "n", "hi", "label"}:
             seen["open"] = out.count()
         return out
 

@@ -301,7 +301,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     """
     whole = _labelled(docs, doc_id, text)
     least = whole.where("label IS NOT NULL").groupBy("label").agg(F.min("doc_id").alias("component_id"))
-    return whole.join(least, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return spread_join(whole, least, "label", "key", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def first_rows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -364,14 +364,16 @@ def _labelled(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     # 2. components that still meet at prefix shingles
     label = met.drop("lo").join(parts, F.col("sid") == F.col("node"), "left").select("token", "sid", "n", "hi", F.coalesce("component", "sid").alias("label"))
     several = label.groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.min("n").alias("least_n"), F.max("hi").alias("most_hi")).where("x != y").drop("x", "y")
-    open_ = scratch.cut(label.join(several, "token").where("least_n <= hi AND n <= most_hi").select("token", "sid", "n", "label"))
+    open_ = scratch.cut(label.join(several, "token").where("least_n <= hi AND n <= most_hi").select("token", "sid", "n", "hi", "label"))
     scratch.drop(met)
     members = open_.select("sid", "n", "label").distinct()
     about = scratch.cut(members.groupBy("label").agg(F.count("*").alias("members"), F.min("n").alias("least"), F.max("n").alias("largest")))
-    at = open_.select("token", "label").distinct().join(about, "label").select("token", F.col("label").alias("g"), F.col("members").alias("g_members"), "least", "largest")
+    at = open_.groupBy("token", "label").agg(F.min("n").alias("least_n"), F.max("hi").alias("most_hi"))
+    at = spread_join(at, about, "label", "token").select("token", F.col("label").alias("g"), F.col("members").alias("g_members"), "least", "largest", "least_n", "most_hi")
     mine = spread_join(open_, about.select("label", "members"), "label", "sid")
     # of two components, the larger is stored and the sets of the other are probes
-    meet = mine.join(at, "token").where(F.struct("g_members", "g") > F.struct("members", "label")).groupBy("g", "sid", "n", "least", "largest").agg(F.count("*").alias("c"))
+    bounds = (F.col("least_n") <= F.col("hi")) & (F.col("n") <= F.col("most_hi"))
+    meet = mine.join(at, "token").where(bounds & (F.struct("g_members", "g") > F.struct("members", "label"))).groupBy("g", "sid", "n", "least", "largest").agg(F.count("*").alias("c"))
     # sizes within the threshold, and the prefix shingles that two linked sets share at least
     lo, hi = F.greatest("least", F.ceil(F.col("n") * 3 / 4)), F.least("largest", F.floor(F.col("n") * 4 / 3))
     need = lambda m: F.ceil((F.col("n") + m) * 3 / 7) - F.greatest(F.expr("(3 * n + 3) DIV 4"), F.floor((3 * m + 3) / 4)) + 1
