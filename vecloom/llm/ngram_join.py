@@ -1,7 +1,7 @@
 """N-gram Jaccard join: near-duplicate documents by a prefix-tree join of shingle sets.
 
 Sets of shingle hashes are put in one global order: shingles that a count sketch
-over all documents shows to be common come last, others go by hash. Two sets with
+over all documents shows to be common come last, the more common the later; others go by hash. Two sets with
 a Jaccard similarity of 3/4 or more share a shingle among the first n - ceil(3n/4) + 1
 of each, so sets meet at the shingles of their prefixes. Sets that meet are
 compared in blocks: the block's sets are stored in a trie in the global order, and
@@ -69,7 +69,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
-    """Sorted distinct 63-bit hashes of the n-word shingles; fewer words are one shingle, none give none."""
+    """Sorted distinct 62-bit hashes of the n-word shingles; fewer words are one shingle, none give none."""
     words = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
@@ -78,7 +78,7 @@ def shingle_set(text: str | None, n: int = 5) -> np.ndarray:
     h = np.full(len(w) - size + 1, size, np.uint64)
     for k in range(size):
         h = h * np.uint64(0x9E3779B97F4A7C15) + w[k:len(w) - size + 1 + k]
-    return np.unique(_mix(h) >> np.uint64(1))
+    return np.unique(_mix(h) >> np.uint64(2))
 
 
 def set_ids(s: np.ndarray) -> tuple[int, int]:
@@ -107,7 +107,7 @@ def _summaries(docs: DataFrame) -> DataFrame:
                 first, second = set_ids(s) if len(s) else (None, None)
                 sid.append(first)
                 alt.append(second)
-                np.add.at(cells, (s >> np.uint64(63 - SKETCH_BITS)).astype(np.int64), 1)
+                np.add.at(cells, (s >> np.uint64(62 - SKETCH_BITS)).astype(np.int64), 1)
             np.minimum(cells, 40_000, out=cells)
             k = len(n)
             yield pa.RecordBatch.from_arrays([pa.array([0] * k, pa.int32()), batch.column("doc_id"), batch.column("key"), pa.array(n, pa.int64()), pa.array(sid, pa.int64()), pa.array(alt, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary())], schema=schema)
@@ -119,25 +119,27 @@ def _summaries(docs: DataFrame) -> DataFrame:
 
 
 def _common_cells(sketch: DataFrame, shingles: int) -> np.ndarray:
-    """A bit for each cell whose count stands out from what the mean explains: 512 kB, whatever the input."""
+    """0 to 3 for each cell, by how far its count stands out from what the mean explains: 1 MB of bits, whatever the input."""
     mean = shingles / (1 << SKETCH_BITS)
-    most = mean + 8 * mean**0.5 + 8
+    steps = [mean + k * mean**0.5 + more for k, more in ((2, 2), (5, 5), (12, 20))]
 
     def add(key: tuple, t: pa.Table) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << ROW_BITS, np.int64)
         for c in t["cells"].to_pylist():
             total += np.frombuffer(zlib.decompress(c), np.uint16)
-        yield pa.RecordBatch.from_pydict({"row": [int(key[0])], "bits": [np.packbits(total > most).tobytes()]})
+        level = sum(total > x for x in steps)
+        yield pa.RecordBatch.from_pydict({"row": [int(key[0])], "bits": [np.packbits(np.stack([level >> 1, level & 1]).astype(bool)).tobytes()]})
 
-    out = np.zeros(1 << SKETCH_BITS, bool).reshape(-1, 1 << ROW_BITS)
+    out = np.zeros(1 << SKETCH_BITS, np.uint8).reshape(-1, 1 << ROW_BITS)
     for r in grouped(sketch.select("row", "cells"), ["row"], add, "row long, bits binary").collect():
-        out[r["row"]] = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).astype(bool)
+        high, low = np.unpackbits(np.frombuffer(r["bits"], np.uint8)).reshape(2, -1)
+        out[r["row"]] = 2 * high + low
     return out.ravel()
 
 
 def ordered(s: np.ndarray, common: np.ndarray) -> np.ndarray:
-    """The set in the global order: the top bit puts common shingles last."""
-    top = common[(s >> np.uint64(63 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(63)
+    """The set in the global order: the top two bits put common shingles last."""
+    top = common[(s >> np.uint64(62 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64) << np.uint64(62)
     return np.sort(s | top)
 
 
