@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from .common import Scratch, connected_components, filter_of, grouped, meeting, spread_join, table
 from .tokens import slices
 
-#: Cells of the sketch of document frequencies (2**24), in rows of 2**15: 32 MB a task while it counts, 16 MB in the end, whatever the input.
-SKETCH_BITS = 24
+#: Cells of the sketch of document frequencies (2**22), in rows of 2**15: 8 MB a task while it counts, 4 MB in the end, whatever the input.
+SKETCH_BITS = 22
 ROW_BITS = 15
 #: Sets in a block, and shingles in it: a block is what one task holds.
 BLOCK_SETS = 256
@@ -119,7 +119,7 @@ def _summaries(docs: DataFrame) -> DataFrame:
 
 
 def _common_cells(sketch: DataFrame, shingles: int) -> np.ndarray:
-    """0 to 3 for each cell, by how far its count stands out from what the mean explains: 4 MB of bits, whatever the input."""
+    """0 to 3 for each cell, by how far its count stands out from what the mean explains: 1 MB of bits, whatever the input."""
     mean = shingles / (1 << SKETCH_BITS)
     steps = [mean + k * mean**0.5 + more for k, more in ((2, 2), (5, 5), (12, 20))]
 
