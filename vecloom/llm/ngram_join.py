@@ -41,7 +41,7 @@ ROW_BITS = 15
 BLOCK_SETS = 256
 BLOCK_SHINGLES = 1_000_000
 #: One in so many of a set's shingles may be shared before the place from which its bound is reckoned.
-SLACK = 24
+SLACK = 400
 
 
 # ---- sets ----
