@@ -103,8 +103,9 @@ def test_maintenance(spark, base, queries):
     names = {r.name: r.setting for r in look.index_settings(parted).collect()}
     assert names["dim"] == "32" and int(names["nlist"]) == parted.meta.nlist
     assert look.posting_pages(parted).agg(F.sum("entry_count")).first()[0] == parted.postings(live=False).count()
+    assert "nlist" in back.meta.explicit and "nlist" not in parted.meta.explicit
     again = parted.rebuild(e, storage.work_dir(spark))
-    assert again.meta.rows == 500
+    assert again.meta.rows == 500 and again.meta.nlist == sizing.auto_nlist(500, 32)
 
 
 def test_no_rows_and_only_nulls(spark):

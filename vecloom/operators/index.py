@@ -32,6 +32,8 @@ MAX_PARTS = 64
 ROUTE_CANDIDATES = 32
 #: Rows that clusters are fitted on: at least, for each list, and at most. The bound is what the driver holds.
 SAMPLE_LEAST, SAMPLE_PER_LIST, SAMPLE_MOST = 10_000, 256, 200_000
+#: Rows of the sample that a build searches exactly to find how many lists hold this share of their ten neighbours.
+TUNING_QUERIES, TUNING_SHARE = 200, 0.97
 
 
 @dataclass
@@ -159,7 +161,7 @@ class VectorIndex:
         fan_out = sizing.auto_fan_out(nlist, opt.fan_out)
         want = min(sample_most, max(SAMPLE_LEAST, SAMPLE_PER_LIST * nlist))
         usable = rows.where(F.exists("v", lambda x: x != 0)) if opt.metric == "cosine" else rows
-        sample = usable.orderBy(F.xxhash64("id", F.lit(opt.seed)), "id").limit(want).select("v").toArrow().combine_chunks()
+        sample = usable.orderBy(F.xxhash64("id", F.lit(opt.seed)), "id").limit(want).select("id", "v").toArrow().combine_chunks()
         x = exact_knn.matrix(sample["v"].chunk(0)) if sample.num_rows else np.eye(1, dim)
         nodes = build_tree(x, nlist, max(2, fan_out), opt.metric, opt.seed, opt.kmeans_nredo)
         leaves = sum(t["is_leaf"] for t in nodes)
@@ -171,8 +173,37 @@ class VectorIndex:
         if opt.leaf_refine:
             index._refine(rows, meta)
         index._write_postings(index.encode(index.assign(rows)), meta.segments[0], 1)
+        meta.stats["nprobe"], meta.stats["nprobe_of"] = index._tune(rows, sample.slice(0, TUNING_QUERIES)), leaves
         return index._commit(meta)
 
+    def _tune(self, rows: DataFrame, queries: pa.Table) -> int:
+        """Lists to read so that TUNING_SHARE of the queries' ten nearest rows, found exactly, are in them."""
+        if not queries.num_rows or self.meta.nlist == 1:
+            return 1
+        asked = self.spark.createDataFrame(list(zip(queries["id"].to_pylist(), queries["v"].to_pylist())), "qid long, embedding array<float>")
+        truth = exact_knn.knn_join(rows, asked, 10, self.options.metric, "id", "v", exclude_self=True).select("qid", "id")
+        held = self.postings().select("id", "cluster_id").join(F.broadcast(truth), "id").collect()  # 10 rows a query and their replicas
+        router, metric = Router(self.nodes(), self.options.metric), self.options.metric
+        column = {int(router.cluster[i]): j for j, i in enumerate(router.leaves.tolist())}
+        x = exact_knn.matrix(queries["v"].combine_chunks())
+        x = dict(zip(queries["id"].to_pylist(), unit(x) if metric == "cosine" else x))
+        by_query: dict[int, list] = {}
+        for r in held:
+            by_query.setdefault(r["qid"], []).append((r["id"], column[r["cluster_id"]]))
+        need: dict[tuple, int] = {}
+        for qid, found in by_query.items():
+            d = exact_knn.pairwise(metric, x[qid][None], router.centroid[router.leaves])[0]
+            place = np.argsort(np.argsort(d, kind="stable"), kind="stable") + 1
+            for id_, j in found:
+                need[qid, id_] = min(int(place[j]), need.get((qid, id_), len(d)))
+        least = sorted(need.values())
+        return least[max(0, int(np.ceil(TUNING_SHARE * len(least))) - 1)] if least else 1
+
+    def auto_nprobe(self) -> int:
+        """The rule's number of lists, or what the build found to be needed, in proportion to the lists there are now."""
+        tuned = -(-self.meta.stats.get("nprobe", 1) * self.meta.nlist // max(1, self.meta.stats.get("nprobe_of", self.meta.nlist)))
+        return min(self.meta.nlist, sizing.MAX_NPROBE, max(sizing.auto_nprobe(self.meta.nlist), tuned))
+
     def _write_centroids(self, nodes: list[dict], where: str) -> None:
         schema = "node_id int, parent_id int, level int, is_leaf boolean, cluster_id int, centroid array<float>"
         self.spark.createDataFrame([tuple(t[k] for k in ("node_id", "parent_id", "level", "is_leaf", "cluster_id", "centroid")) for t in nodes], schema).coalesce(1).write.mode("overwrite").parquet(where)
@@ -277,7 +308,7 @@ class VectorIndex:
         opt, meta = self.options, self.meta
         if k < 1:
             raise VectorError("k is at least 1")
-        nprobe = min(meta.nlist, nprobe or sizing.auto_nprobe(meta.nlist))
+        nprobe = min(meta.nlist, nprobe or self.auto_nprobe())
         ask = k + offset
         find = sizing.inflate_for_filter(ask, selectivity) if post_filter else ask
         qids, qs, _ = exact_knn.collect_queries(queries, query_id, query_vector)
@@ -295,15 +326,20 @@ class VectorIndex:
         scored = self._score(entries, qids, qs, probes, router, opt.distance_mode == "symmetric" if symmetric is None else symmetric, find)
         # an entry's replicas count once; the k-th least upper bound rules out what lies above it
         best = scored.groupBy("qid", "id").agg(F.min("est").alias("est"), F.min("ub").alias("ub"), F.min("lb").alias("lb"))
+        admitted = entries.groupBy("cluster_id").agg(F.count("*").alias("c"))
+        asked = [(int(i), int(c)) for i, row in zip(qids, probes.tolist()) for c in row if c >= 0]
+        admitted = self.spark.createDataFrame(asked, "qid long, cluster_id int").join(admitted, "cluster_id").groupBy("qid").agg(F.sum("c").alias("cand"))
         if opt.metric != "ip":
             edge = best.withColumn("n", F.row_number().over(Window.partitionBy("qid").orderBy("ub", "id"))).where(F.col("n") == find).select("qid", F.col("ub").alias("edge"))
             best = best.join(edge, "qid", "left").where(F.col("edge").isNull() | (F.col("lb") <= F.col("edge"))).drop("edge")
         w = Window.partitionBy("qid")
-        pool = best.withColumn("cand", F.count("*").over(w)).withColumn("n", F.row_number().over(w.orderBy("est", "id")))
+        pool = best.withColumn("n", F.row_number().over(w.orderBy("est", "id")))
         size = sizing.rerank_pool(find, max(nprobe, 1), rerank_pool)
         if size is not None:
-            floor = F.lit(size) if rerank_pool > 0 else F.greatest(F.lit(size), F.floor(F.col("cand") / 8))
-            pool = pool.where(F.col("n") <= floor)
+            if rerank_pool > 0:
+                pool = pool.where(F.col("n") <= size)
+            else:  # an eighth of all entries that were read for the query, if that is more
+                pool = pool.join(admitted, "qid", "left").where(F.col("n") <= F.greatest(F.lit(size), F.floor(F.col("cand") / 8))).drop("cand")
         if stats is not None:
             stats.append({"k": find, "lists": len(lists), "probes": int((probes >= 0).sum()), "centroids": len(router.centroid), "entries": scored, "candidates": pool})
         if rerank:
@@ -409,6 +445,8 @@ class VectorIndex:
         rows = sum(sizes.values())
         target = target or max(1, round(rows / sizing.auto_nlist(rows, self.meta.dim, self.options.target_pages)))
         wide = {c: min(32, max(2, round(n / target))) for c, n in sizes.items() if n > 2 * target}
+        # from now on the number of lists follows the rows, so a rebuild sizes anew
+        self = VectorIndex(self.spark, self.path, replace(self.meta, explicit=[x for x in self.meta.explicit if x != "nlist"])) if wide else self
         return self._split(source, wide, max(1, target // 2), id_col, vector)
 
     def split(self, cluster_id: int, source: DataFrame, id_col: str = "id", vector: str = "embedding") -> VectorIndex:

@@ -41,7 +41,7 @@ def index_settings(index: VectorIndex, nprobe: int = 0) -> DataFrame:
         ("centroid_nodes", len(index.nodes()), "derived"), ("segments", len(m.segments), "derived"), ("rows", m.rows, "derived"), ("version", m.version, "derived"),
         ("centroid_format", "float32", src("centroid_compression", True)), ("fastscan", o.fastscan, src("fastscan", True)), ("posting_reference_format", o.posting_reference_format, src("posting_reference_format")),
         ("soar_lambda", o.soar_lambda, src("soar_lambda")), ("boundary_epsilon", o.boundary_epsilon, src("boundary_epsilon")), ("kmeans_nredo", o.kmeans_nredo, src("kmeans_nredo")),
-        ("distance_mode", o.distance_mode, src("distance_mode")), ("nprobe", nprobe or sizing.auto_nprobe(m.nlist), "session" if nprobe else "auto"),
+        ("distance_mode", o.distance_mode, src("distance_mode")), ("nprobe", nprobe or index.auto_nprobe(), "session" if nprobe else "auto"),
     ]
     return index.spark.createDataFrame([(n, str(v), s) for n, v, s in rows], "name string, setting string, source string")
 
