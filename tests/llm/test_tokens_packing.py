@@ -19,12 +19,11 @@ from vecloom.llm.tokens import WordTokenizer
 from .helpers import docs, empty, prose
 
 FILES = ["word_bpe_49k.json", "byte_bpe_50k.json"]
-ODD = ["", None, " ", "  ", "a  b", " lead", "trail ", "x\n y", "x \n\ny z", "nb\xa0sp ace", "<|endoftext|> a<|endoftext|>", "İstanbul ΣΑΣ don't I'll", "\n\n", "a\tb  c", "é ́x", "\x1c a\x1cb", "a\r\nb", "1 22 333,4", "日本 語"]
+ODD = ["", None, " ", "  ", "a  b", " lead", "trail ", "x\n y", "x \n\ny z", "nb\xa0sp ace", "<|endoftext|> a<|endoftext|>", "x <|ENDOFTEXT|> <|startoftext|>Y  <|endoftext|>\n", "<|endof text|>", "İstanbul ΣΑΣ don't I'll", "\n\n", "a\tb  c", "é ́x", "\x1c a\x1cb", "a\r\nb", "1 22 333,4", "日本 語"]
 
 
 def whole(name, text, end):
     t = Tokenizer.from_file(public_tokenizers.path(name))
-    t.encode_special_tokens = True
     return t.encode(text or "", add_special_tokens=False).ids + [end]
 
 

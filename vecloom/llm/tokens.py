@@ -4,7 +4,8 @@ A byte-pair tokenizer that splits at white space gives a word the same ids
 wherever it stands, so each Arrow batch is split and dictionary-encoded, only
 words not met before go through the library (many at once), and the ids of the
 texts are gathered. Texts for which the split at white space could differ from
-the tokenizer's own go through the library whole.
+the tokenizer's own, and those that hold one of its added tokens (such as
+<|endoftext|>, which the library gives its one id), go through the library whole.
 """
 
 from __future__ import annotations
@@ -32,7 +33,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         vocab = self.tok.get_vocab()
         self.vocab_size = max(vocab.values()) + 1
         # word_bpe marks the ends of words and drops white space; byte_bpe keeps each byte
@@ -40,6 +40,8 @@ class WordTokenizer:
         self.bytes_of = np.zeros(self.vocab_size, np.int64)
         for k, i in vocab.items():
             self.bytes_of[i] = len(k.removesuffix("</w>")) if self.drops_space else len(k)
+        added = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
+        self.not_by_words = "|".join(added if self.drops_space else [_NOT_BY_SPACES, *added])
         self.cache_words = cache_words
         self.cache: dict[str, bytes] = {"": b""}
 
@@ -87,15 +89,13 @@ class WordTokenizer:
         """(ids of all texts, end id after each; offsets of the texts in them). Null is the empty text."""
         texts = pc.fill_null(texts, "")
         own: dict[int, np.ndarray] = {}
-        if not self.drops_space:
-            flags = pc.match_substring_regex(texts, _NOT_BY_SPACES)
+        if self.not_by_words:
+            flags = pc.match_substring_regex(texts, self.not_by_words)
             for i in np.flatnonzero(flags.to_numpy(zero_copy_only=False)).tolist():
                 own[i] = self.whole(texts[i].as_py())
             if own:
                 texts = pc.if_else(flags, "", texts)
-            parts = pc.split_pattern(texts, " ")
-        else:
-            parts = pc.ascii_split_whitespace(texts)
+        parts = pc.ascii_split_whitespace(texts) if self.drops_space else pc.split_pattern(texts, " ")
         offsets = parts.offsets.to_numpy().astype(np.int64)
         flat = parts.flatten()
         offsets = offsets - offsets[0]
