@@ -57,6 +57,23 @@ def test_exact_join(base, queries, metric):
     assert close(got(K.knn_join(base, queries, 7, metric)), truth(base, queries, 7, metric))
 
 
+@pytest.mark.parametrize("metric", ["l2", "ip", "cosine"])
+def test_more_queries_than_are_sent_to_tasks(spark, base, queries, metric, monkeypatch):
+    n = queries.count()
+    monkeypatch.setattr(K, "BROADCAST_QUERIES", n - 1)
+    assert close(got(K.knn_join(base, queries, 7, metric)), truth(base, queries, 7, metric))
+    some = K.knn_join(base, queries.withColumn("most", F.col("qid") % 3), metric=metric, k_col="most")
+    assert {r.qid: r.c for r in some.groupBy("qid").agg(F.count("*").alias("c")).collect()} == {r.qid: r.qid % 3 for r in queries.collect() if r.qid % 3}
+    assert K.knn_join(base.where("false"), queries, 7, metric).count() == 0
+
+
+def test_index_search_in_parts(spark, base, queries, monkeypatch):
+    index = VectorIndex.build(base, storage.work_dir(spark), nlist=12)
+    whole = got(index.search(queries, 5, base, nprobe=12, rerank_pool=-1))
+    monkeypatch.setattr(K, "BROADCAST_QUERIES", queries.count() - 1)
+    assert close(got(index.search(queries.union(queries), 5, base, nprobe=12, rerank_pool=-1)), whole)
+
+
 def test_exact_one_query(spark, base):
     line = spark.createDataFrame([(g, [float(g), 0.0, 0.0]) for g in range(50)] + [(99, None)], "id long, embedding array<float>")
     assert [r.id for r in K.knn(line, "embedding", [0.0, 0.0, 0.0], 10).collect()] == list(range(10))

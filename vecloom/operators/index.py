@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field, replace
+from functools import partial, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -303,7 +304,8 @@ class VectorIndex:
         rows of source (needed for rerank and where). where filters before the search;
         with post_filter it filters what a search for more neighbours found. Inner
         product ranks estimates of the product and rules none out, as the bound is one
-        of l2. stats, a list, gets counters of the search.
+        of l2. stats, a list, gets counters of the search. Queries beyond the bound of
+        what is sent to tasks are searched in parts, each with its own counters.
         """
         opt, meta = self.options, self.meta
         if k < 1:
@@ -311,7 +313,15 @@ class VectorIndex:
         nprobe = min(meta.nlist, nprobe or self.auto_nprobe())
         ask = k + offset
         find = sizing.inflate_for_filter(ask, selectivity) if post_filter else ask
-        qids, qs, _ = exact_knn.collect_queries(queries, query_id, query_vector)
+        collected = exact_knn.collect_queries(queries, query_id, query_vector)
+        if collected is None:
+            asked = queries.where(F.col(query_vector).isNotNull()).select(query_id, query_vector).distinct()
+            n = exact_knn.blocks_of(asked, query_vector)
+            part = F.pmod(F.xxhash64(query_id, query_vector), F.lit(n))
+            again = partial(self.search, k=k, source=source, nprobe=nprobe, rerank=rerank, rerank_pool=rerank_pool, beam_scale=beam_scale, where=where, post_filter=post_filter, selectivity=selectivity,
+                            symmetric=symmetric, query_id=query_id, query_vector=query_vector, id_col=id_col, vector=vector, offset=offset, stats=stats)
+            return reduce(DataFrame.union, (again(asked.where(part == i)) for i in range(n)))
+        qids, qs = collected
         if len(qids) and qs.shape[1] != meta.dim:
             raise VectorError(f"different vector dimensions {meta.dim} and {qs.shape[1]}")
         qs = unit(qs) if opt.metric == "cosine" else qs
